@@ -10,8 +10,10 @@ from . import chat_format as chat
 from .decontaminate import build_index, find_overlaps
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
+from .quality import fit_quality, score_quality
 from .sharding import rendezvous_shards
 from .substring_dedup import substring_dedup
+from .toxicity import fit_toxicity, score_toxicity
 from .vector_search import top_k
 
 SHARDS = 16
@@ -76,12 +78,34 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _held_out():
+    """Rows whose labels are never learned."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+QUALITY_AT, TOXIC_AT = 0.7, 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~_held_out()), at=QUALITY_AT)
+    out = score_quality(docs, model)
+    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = fit_toxicity(docs, _table(spark, sf_dir, "labels").filter(~_held_out()))
+    out = score_toxicity(docs, field)
+    return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "toxic_words", "toxic_spans")
+
+
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_line_dedup, op4_minhash_dedup, op5_chat_format, op6_bpe, op7_decontaminate, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_line_dedup, op4_minhash_dedup, op5_chat_format, op6_bpe, op7_decontaminate, op8_quality, op9_toxicity, op10_vector_search)}
 
 ORACLES = {
     "op1_substring_dedup": r"""

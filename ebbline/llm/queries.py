@@ -83,19 +83,23 @@ def _held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    return labels.filter(~_held_out())
+
+
 QUALITY_AT, TOXIC_AT = 0.7, 0.3
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~_held_out()), at=QUALITY_AT)
+    model = fit_quality(docs, learnable(_table(spark, sf_dir, "labels")), at=QUALITY_AT)
     out = score_quality(docs, model)
     return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    field = fit_toxicity(docs, _table(spark, sf_dir, "labels").filter(~_held_out()))
+    field = fit_toxicity(docs, learnable(_table(spark, sf_dir, "labels")))
     out = score_toxicity(docs, field)
     return out.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "toxic_words", "toxic_spans")
 

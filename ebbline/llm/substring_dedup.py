@@ -6,7 +6,7 @@ text) is a repeat, and each word a repeat covers goes. Finding repeats doesn't n
 * Anchors of `anchor` words are hashed only at positions whose remainder modulo `PERIOD` is in `COVER`, a perfect
   difference set. For any two equal windows, whatever their positions, some anchor inside both lies on covered
   positions of both texts, as long as anchor + PERIOD - 1 <= window. So a window without a repeated anchor is no repeat.
-* Windows that hold a repeated anchor are extended to their full length: a 128-bit hash of the window decides.
+* Windows that hold a repeated anchor are extended to their full length: a 96-bit hash of the window decides.
 
 Texts are dealt into groups of a few MB by a hash of their id. A group sends each distinct hash once, with whatever it
 needs to be compared, packed into one binary row per hash bucket; a bucket answers each group with the hashes that
@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, input_bytes, pieces, pow2
+from ._spark import input_bytes, pieces, pow2
 from ._text import U64, Words, binary, fitting, member, unpack, window_hashes
 
 #: A perfect difference set modulo 13: every remainder is a difference of two of its elements.
@@ -117,28 +117,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"group": table["group"].take(pa.array(some, pa.int64())), "keys": binary([found[i] for i in some])})
 
     def send_windows(table, answers):
-        none = pa.table({"bucket": pa.array([], pa.int32()), "group": pa.array([], pa.int32()), "a": binary([]), "b": binary([]), "id": pa.array([], pa.binary()), "tie": binary([])})
-        if not answers.num_rows or not table.num_rows:
-            return none
         table = _sorted(table)
+        kinds = pa.schema([("bucket", pa.int32()), ("group", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("who", pa.binary()), ("ids", pa.list_(table["__id"].type)), ("ties", pa.list_(pa.int64()))])
+        if not answers.num_rows or not table.num_rows:
+            return kinds.empty_table()
         words = Words(table["__text"])
         at, a, b = _candidates(words, words.hashes(), np.sort(np.concatenate(unpack(answers["keys"]))), window, anchor)
+        b = b.astype(np.uint32)
         order, new = _runs(a, b)
         firsts = order[new]
         text = np.searchsorted(words.first, at[firsts], "right") - 1
-        a, b, tie = a[firsts], b[firsts], np.asarray(table["__tie"])[text]
-        ids = table["__id"].take(pa.array(text))
+        a, b = a[firsts], b[firsts].astype(np.uint32)
         cuts = _split(a, buckets)
         full = np.flatnonzero(np.diff(cuts))
         parts = [slice(cuts[x], cuts[x + 1]) for x in full]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "group": pa.array([table["__group"][0].as_py()] * len(full), pa.int32()), "a": binary([a[p] for p in parts]), "b": binary([b[p] for p in parts]), "id": pa.array([_pack(ids[p]) for p in parts], pa.binary()), "tie": binary([tie[p] for p in parts])})
+        # A window names its text by its place in the row's short list of texts.
+        texts, who = zip(*[np.unique(text[p], return_inverse=True) for p in parts], strict=True) if parts else ((), ())
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in texts])]), pa.int32())
+        flat = pa.array(np.concatenate([[], *texts]).astype(np.int64))
+        lists = [pa.ListArray.from_arrays(ends, table[c].combine_chunks().take(flat) if isinstance(table[c], pa.ChunkedArray) else table[c].take(flat)) for c in ("__id", "__tie")]
+        return pa.Table.from_arrays([pa.array(full, pa.int32()), pa.array([table["__group"][0].as_py()] * len(full), pa.int32()), binary([a[p] for p in parts]), binary([b[p] for p in parts]), binary([x.astype(np.uint16 if x.size and x.max() < 65536 else np.uint32) for x in who]), *lists], schema=kinds)
 
     def answer_windows(table):
-        a, b = unpack(table["a"]), unpack(table["b"])
-        group = np.repeat(np.arange(len(a)), [x.size for x in a])
-        a, b, tie = np.concatenate(a), np.concatenate(b), np.concatenate(unpack(table["tie"], np.int64))
-        ids = pa.chunked_array([_unpack(x) for x in table["id"].to_pylist()]).combine_chunks()
-        rank = _rank(ids)
+        a, b = unpack(table["a"]), unpack(table["b"], np.uint32)
+        n = [x.size for x in a]
+        group = np.repeat(np.arange(len(a)), n)
+        who = [np.frombuffer(x, np.uint16 if len(x) == 2 * k else np.uint32) for x, k in zip(table["who"].to_pylist(), n, strict=True)]
+        ids, ties = (table[c].combine_chunks() for c in ("ids", "ties"))
+        at = np.concatenate(who).astype(np.int64) + np.repeat(np.cumsum([0, *map(len, ids)])[:-1], n)
+        a, b, rank, tie = np.concatenate(a), np.concatenate(b), _rank(ids.flatten())[at], np.asarray(ties.flatten())[at]
         order = np.lexsort((tie, rank, b, a))
         new = np.ones(order.size, bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -154,13 +161,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             anchors = answers.filter(pa.compute.is_valid(answers["keys"]))
             late = answers.filter(pa.compute.is_valid(answers["a"]))
             at, a, b = _candidates(words, words.hashes(), np.sort(np.concatenate(unpack(anchors["keys"]))), window, anchor)
+            b = b.astype(np.uint32)
             words.forget()
             order, new = _runs(a, b)
             repeat = np.ones(order.size, bool)
             repeat[order] = ~new
             if late.num_rows:
                 firsts = order[new]
-                la, lb = np.concatenate(unpack(late["a"])), np.concatenate(unpack(late["b"]))
+                la, lb = np.concatenate(unpack(late["a"])), np.concatenate(unpack(late["b"], np.uint32))
                 both = np.concatenate([la, a[firsts]]), np.concatenate([lb, b[firsts]])
                 o, n = _runs(*both)
                 at_late = np.zeros(o.size, bool)
@@ -182,25 +190,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     by_group = lambda x: rows.groupBy("__group").cogroup(x.groupBy("group"))
     anchors = rows.groupBy("__group").applyInArrow(send_anchors, "bucket int, group int, keys binary, twice binary")
-    repeated = cut(anchors.groupBy("bucket").applyInArrow(answer_anchors, "group int, keys binary"))
-    windows = by_group(repeated).applyInArrow(send_windows, "bucket int, group int, a binary, b binary, id binary, tie binary")
+    # One plan, no cut: the exchange of the texts by group is written once and read by all three passes.
+    repeated = anchors.groupBy("bucket").applyInArrow(answer_anchors, "group int, keys binary")
+    windows = by_group(repeated).applyInArrow(send_windows, f"bucket int, group int, a binary, b binary, who binary, ids array<{kind}>, ties array<long>")
     late = windows.groupBy("bucket").applyInArrow(answer_windows, "group int, a binary, b binary")
     answers = repeated.selectExpr("group", "keys", "cast(null as binary) a", "cast(null as binary) b").unionByName(late.selectExpr("group", "cast(null as binary) keys", "a", "b"))
     return by_group(answers).applyInArrow(drop, f"`{id_col}` {kind}, `{text_col}` string, n_words long, n_removed long")
 
 
-def _pack(ids: pa.ChunkedArray) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.table({"id": ids})
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes) -> pa.Array:
-    return pa.ipc.open_stream(data).read_all()["id"].combine_chunks()
-
-
 def _rank(ids: pa.Array) -> np.ndarray:
     """Places of ids in their order, equal ids sharing one; nulls last."""
     return np.asarray(pa.compute.rank(ids, "ascending", null_placement="at_end", tiebreaker="dense")).astype(np.int64)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 _UNKNOWN = 1 << 50
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that their Python finds it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        if package.is_dir() and package.parent.is_dir():
+            folder = tempfile.mkdtemp(prefix="ebbline-code-")  # on the driver, which serves it to the executors until it ends
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            copy = shutil.copytree(package, f"{folder}/code/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+            sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", Path(copy).parent))
+        _SHIPPED.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: materialise in the folder every executor shares (spark.checkpoint.dir).
 

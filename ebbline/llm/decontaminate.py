@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, ship
 from ._text import NOT_ALNUM, U64, Words, fitting, rows_within, window_hashes
 
 SEGMENT_BYTES = 1 << 20
@@ -42,6 +42,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` with A-Z lower-cased. Null and empty texts are in it without words.
     Rows may repeat, ids may be null; other columns of docs are not read. An empty table gives an empty index.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches):
@@ -178,6 +179,7 @@ def find_overlaps(index: DataFrame, items: DataFrame, item_id: str = "item_id",
     kind, item_kind = index.schema["ids"].dataType.elementType.simpleString(), items.schema[item_id].dataType.simpleString()
     out = f"segment long, at int, id {kind}, n_words long, n_hit long, items array<{item_kind}>, spans array<struct<start:int,end:int>>"
     item_type = None
+    ship(index.sparkSession)
 
     def result(segment: int, ids: pa.Array, first: np.ndarray, cover: np.ndarray, text: np.ndarray, item: pa.Array) -> pa.RecordBatch:
         """text, item: pairs of a text and an item's id, sorted by text."""
@@ -255,6 +257,7 @@ def _spans_inside(cover: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
 def find_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """(id, position): where the segment's rarest of the words stands with all the others at most `within` words away."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
+    ship(index.sparkSession)
     h = Words(pa.array(terms), NOT_ALNUM, lower=True).hashes()
 
     def search(batches):

@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, pieces, pow2
+from ._spark import input_bytes, pieces, pow2, ship
 from ._text import U64, Words, binary, fitting, member, unpack, window_hashes
 
 #: A perfect difference set modulo 13: every remainder is a difference of two of its elements.
@@ -89,6 +89,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchor = window - PERIOD + 1
     if anchor < 2:
         raise ValueError(f"window must be at least {PERIOD + 1}")
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     size = input_bytes(docs)
     groups, buckets = pieces(size, _GROUP_BYTES, 12), pow2(pieces(size // 2, _BUCKET_BYTES, 16))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import labelled_sample
+from ._spark import ship
 from ._text import NOT_ALNUM, U64, Words, mix, rows_within
 
 SAMPLE, BLOCKS, BLOCK = 20_000, 6_000, 64
@@ -233,6 +234,7 @@ def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> Dat
     than not. Null and empty texts have no words and the score that goes with none. Columns of docs with these names
     are replaced, all others pass through. An empty table stays empty.
     """
+    ship(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("score", "toxic_words", "toxic_spans")])
     names, at = docs.columns, docs.columns.index(text_col)
 

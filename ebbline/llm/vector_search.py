@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, pieces
+from ._spark import input_bytes, pieces, ship
 
 SHARD_BYTES, QUERY_BLOCK = 8 << 20, 512
 _STEP, _PROBE = 2048, 8
@@ -70,6 +70,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     part, neither do vectors of another length than the query's. Rows with the query's id are its own and no candidates;
     rows of one id are candidates each; as a query, the least vector of an id counts. Other columns are not read.
     """
+    ship(vectors.sparkSession)
     good = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.filter(good).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vector_col).alias("v"))

@@ -140,8 +140,11 @@ class Phrases:
         sizes = np.concatenate([np.full(at.size - short.size, size), n[short]]).astype(np.int64)
         self.vocabulary, place = np.unique(h, return_inverse=True)
         keys, one, self.window = np.unique(window_hashes(h, at, sizes), return_index=True, return_inverse=True) if at.size else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.item = np.searchsorted(words.first, at, "right") - 1
-        self.ids, self.sizes = ids, sizes[one]
+        coded = ids.dictionary_encode()  # rows of one id are one item; a null id is one too
+        self.ids = pa.concat_arrays([coded.dictionary, pa.nulls(1, ids.type)])
+        item = np.asarray(pa.compute.fill_null(coded.indices.cast(pa.int64()), len(coded.dictionary)))
+        self.item = item[np.searchsorted(words.first, at, "right") - 1]
+        self.sizes = sizes[one]
         inside = np.arange(size) < self.sizes[:, None]
         self.windows = np.where(inside, place[np.minimum(at[one][:, None] + np.arange(size), max(place.size - 1, 0))] if place.size else 0, 0)
         order = np.argsort(self.window, kind="stable")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import contextlib
+import json
 import re
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from ebbline.plans import explain as plans
 from ebbline.plans.modes import Kind, Mode
 from ebbline.plans.predicates import Side
 from ebbline.plans.seam import Seam
+from ebbline.sources.files import TIER
 from ebbline.streaming import mirror as streaming
 
 #: A cut-line below every key: nothing is cold yet.
@@ -93,9 +97,49 @@ class Engine:
             return self.store.seam(table).view()
         return self.store.seam(table).hybrid(table.kind.duration(lag))
 
+    def token(self, seam: Seam) -> str:
+        """A pinned read as text, for another driver on the same catalog. It holds as long as its pin."""
+        line = seam.line
+        return base64.urlsafe_b64encode(json.dumps([seam.table.name, line.t, line.s, line.hot, line.delta]).encode()).decode()
+
+    def from_token(self, token: str) -> Seam:
+        try:
+            name, t, s, hot, delta = json.loads(base64.urlsafe_b64decode(token.encode()))
+        except ValueError as e:
+            raise RoutingError("not a token of a pinned read") from e
+        table = self.store.table(name)
+        return Seam(self.spark, self.store.catalog, table, replace(self.store.catalog.line(table.id), t=t, s=s, hot=hot, delta=delta))
+
     # Writes
 
+    def transparent_writes(self, name: str, on: bool) -> None:
+        """Whether plain inserts may hold rows below the cut-line (on by default); explicit upserts always may."""
+        table = self.store.table(name)
+        if not on and table.mode.hot_complete:
+            raise RoutingError(f"a {table.mode} table has no cold writes to switch off")
+        self.store.catalog.set_spec(table.id, table.spec | {"transparent": on})
+
+    def add_columns(self, name: str, fields: str | T.StructType) -> None:
+        """Add columns; rows written before have nulls in them."""
+        table, new = self.store.table(name), load.schema_of(fields)
+        if clash := [c for c in new.names if c in table.columns or c.startswith("__")]:
+            raise RoutingError(f"{name} can't add {', '.join(clash)}")
+        self.store.catalog.set_spec(table.id, table.spec | {"schema": T.StructType([*table.schema.fields, *new.fields]).jsonValue()})
+
+    def set_policy(self, name: str, **overrides) -> maintain.Policy:
+        """Override a table's maintenance policy; what it is then."""
+        table = self.store.table(name)
+        policy = {**(table.spec.get("policy") or {}), **overrides}
+        out = maintain.Policy.of(policy)
+        self.store.catalog.set_spec(table.id, table.spec | {"policy": policy})
+        return out
+
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
+        table = self.store.table(name)
+        if not table.spec.get("transparent", True):
+            t = self.store.catalog.line(table.id).t
+            if self.store.prepared(table, rows).filter(f"{TIER} < {t}").take(1):
+                raise RoutingError(f"{name}: rows below the cut-line, and transparent writes are off")
         return dml.insert(self.store, name, rows)
 
     def upsert(self, name: str, rows: DataFrame) -> dict[str, int]:
@@ -180,8 +224,26 @@ class Engine:
     def status(self) -> DataFrame:
         return maintain.status(self.store)
 
+    def partitions(self, name: str, limit: int = 200) -> DataFrame:
+        """The newest partitions first."""
+        got = [(p.name, p.lo, p.hi, p.state) for p in self.store.catalog.partitions(self.store.table(name).id)][::-1][:limit]
+        return self.spark.createDataFrame(got, "name string, lo long, hi long, state string")
+
+    def history(self, name: str, limit: int = 50) -> DataFrame:
+        """The journal's newest operations first."""
+        table = self.store.table(name)
+        got = self.store.catalog.rows("SELECT kind, phase, seq, details, at FROM ops WHERE table_id = ? ORDER BY at DESC LIMIT ?", table.id, limit)
+        return self.spark.createDataFrame([tuple(r) for r in got], "kind string, phase string, seq long, details string, at double")
+
     # SQL
 
+    def preview(self, text: str, limit: int = 1000) -> tuple[list, bool]:
+        """The first rows of a SELECT, and whether there are more."""
+        if plans.parse(self.spark, text).kind != "select":
+            raise RoutingError("a preview only reads")
+        rows = self.sql(text).limit(limit + 1).collect()
+        return rows[:limit], len(rows) > limit
+
     def sql(self, text: str) -> DataFrame:
         """Run a statement: tables in a SELECT are seam views; UPDATE, DELETE and INSERT are routed and return the rows."""
         s = plans.parse(self.spark, text)

@@ -341,3 +341,56 @@ def test_unregister(spark, engine):
     e.store.catalog.unregister("trips")
     with pytest.raises(CatalogError):
         e.read("trips")
+
+
+def test_tokens_and_previews(spark, engine):
+    e = trips(engine)
+    e.tier("trips")
+    with e.pinned("trips") as seam:
+        token = e.token(seam)
+        e.update("trips", {"val": "'later'"})
+        assert text(e.from_token(token).view()) == text(seam.view()) != text(e.read("trips"))
+    with pytest.raises(RoutingError):
+        e.from_token("x")
+    assert (lambda r, more: (len(r), more))(*e.preview("SELECT * FROM trips", 3)) == (3, True)
+    assert (lambda r, more: (len(r), more))(*e.preview("SELECT * FROM trips", 5)) == (5, False)
+    with pytest.raises(RoutingError):
+        e.preview("DELETE FROM trips")
+    assert e.partitions("trips", 2).count() == 2 and e.history("trips").first().phase == "done"
+
+
+def test_transparent_writes_can_be_off(spark, engine):
+    e = trips(engine)
+    e.tier("trips")
+    e.transparent_writes("trips", False)
+    with pytest.raises(RoutingError, match="transparent"):
+        e.insert("trips", rows(spark, (9, 50, "x")))
+    assert e.upsert("trips", rows(spark, (9, 50, "x")))["delta"] == 1
+    e.transparent_writes("trips", True)
+    assert e.insert("trips", rows(spark, (8, 50, "x")))["delta"] == 1
+
+
+def test_added_columns(spark, engine):
+    e = trips(engine)
+    e.tier("trips")
+    e.add_columns("trips", "note string")
+    e.upsert("trips", rows(spark, (1, 10, "a", "n"), schema=SCHEMA + ", note string"))
+    want = ["1|10|a|n", "2|20|b|", "3|110|c|", "4|150|d|", "5|250|e|"]
+    assert text(e.read("trips")) == want
+    e.compact("trips")
+    assert text(e.read("trips")) == want
+    with pytest.raises(RoutingError):
+        e.add_columns("trips", "val string")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from ebbline.__main__ import main
+
+    run = lambda *a: main(["--root", str(tmp_path), *a], spark)
+    assert run("register", "t", "--schema", SCHEMA, "--pk", "id", "--tier-key", "event_time", "--width", "100", "--lag", "50", "--cut", "100") == 0
+    (tmp_path / "r.jsonl").write_text('{"id": 1, "event_time": 5, "val": "a"}\n')
+    assert run("ingest", "t", str(tmp_path / "r.jsonl")) == 0
+    assert run("policy", "t", "snapshots_kept=2") == 0 and run("maintain", "t") == 0 and run("verify", "t") == 0
+    assert run("run", "--cycles", "1") == 0 and run("status") == 0 and run("explain", "SELECT * FROM t") == 0
+    assert run("sql", "SELECT count(*) AS n FROM t") == 0 and "|1  |" in capsys.readouterr().out
+    assert run("unregister", "t") == 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import input_bytes, pieces, pow2
+from ._spark import cut, input_bytes, pieces, pow2, ship
 
 SEGMENT_BITS, MAX_SEGMENTS = 1 << 20, 128
 _PROBES = 3
@@ -56,6 +56,7 @@ def _set(bits: np.ndarray, at: np.ndarray) -> None:
 
 def seen_twice(docs: DataFrame, text_col: str, least: int) -> bytes:
     """The filter of the line keys that two texts or more may hold (no key that they do hold is missing)."""
+    ship(docs.sparkSession)
     segments = min(MAX_SEGMENTS, pow2(pieces(int(input_bytes(docs) * 2 * _BITS_PER_BYTE), SEGMENT_BITS, 2)))
 
     def fill(batches):
@@ -157,7 +158,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     with_id = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull())
     suspects = with_id.mapInArrow(list_suspects, f"__id {kind}, __key string")
-    repeated = suspects.groupBy("__key").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs)
+    # Stored, so that both sides of the join come from plain exchanges and a hot key can be split.
+    repeated = cut(suspects.groupBy("__key").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs))
     drops = suspects.join(repeated, "__key").filter("__id <> __last").groupBy("__id").agg(F.collect_set("__key").alias("__drop"))
     out = f"{fields}, n_lines long, n_dropped long"
     clean = with_suspects(False).mapInArrow(rewrite, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,9 +17,19 @@ _UNKNOWN = 1 << 50
 _SHIPPED: set[str] = set()
 
 
+#: Whole texts go to Python in Arrow batches of so many bytes; a batch of thousands of long texts has no bound.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once per application, so that their Python finds it."""
+    """Send this package's code to the executors, once per application, so that their Python finds it.
+
+    Also bounds the session's Arrow batches, unless they are smaller already.
+    """
     sc = spark.sparkContext
+    if _bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         if package.is_dir() and package.parent.is_dir():
@@ -29,6 +40,12 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark writes it; no limit is a large one."""
+    m = re.fullmatch(r"(\d+)([kmgtp]?)b?", text.strip().lower())
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m and int(m[1]) else 1 << 62
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: materialise in the folder every executor shares (spark.checkpoint.dir).
 

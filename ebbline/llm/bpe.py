@@ -14,14 +14,20 @@ normalisation, and the split pattern below.
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from ._spark import ship
+
 #: Unicode White_Space, and the pattern of words in the normalised text.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
@@ -29,7 +35,8 @@ _SPLIT = regex.compile(f"[{_SPACES}]+")
 #: str.split() also splits at these, which aren't white space here.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_CACHE = 300_000
+#: Words and chunks that a task remembers; a worker keeps fewer between tasks.
+_CACHE, _KEEP = 200_000, 20_000
 
 
 def _byte_symbols() -> list[str]:
@@ -69,7 +76,6 @@ class Model:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[vocab[a], vocab[b]] = r
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b], r))
-        self.longest = max(map(len, [*self.inner, *self.final]))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._edges: tuple[dict, dict] = {}, {}
         self._beside: dict[tuple[int, int], bool] = {}
@@ -78,6 +84,7 @@ class Model:
             for piece, t in [*table.items()]:
                 if t in self.parts and not self.beside(*self.parts[t][:2], self.parts[t][2]):
                     del table[piece]
+        self.sizes = _sizes(self.inner), _sizes(self.final)
         self.size = {t: len(p) for table in (self.inner, self.final) for p, t in table.items()}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -108,18 +115,23 @@ class Model:
         rank = self.rank
         out = not any((q := rank.get((x, y))) is not None and q < x_taken and q <= y_taken and q < last for x, x_taken in self._edge(left, 1) for y, y_taken in self._edge(right, 0))
         if last == float("inf"):
-            if len(self._beside) > 2_000_000:
+            if len(self._beside) > 500_000:
                 self._beside.clear()
             self._beside[key] = out
         return out
 
-    def _last(self, word: bytes, end: int, table: dict[bytes, int], states: list[int]) -> int:
+    def _last(self, word: bytes, end: int, final: bool, states: list[int]) -> int:
         """The last token of word[:end], by the states of the shorter prefixes."""
-        for size in range(min(end, self.longest), 0, -1):
-            t = table.get(word[end - size : end])
-            if t is not None and (size == end or self.beside(states[end - size], t)):
-                return t
-        raise ValueError(f"no token for {word[:end]!r}")
+        table, beside, known = self.final if final else self.inner, self.beside, self._beside
+        for size in self.sizes[final].get(word[end - 2 : end] if end > 1 else b"", ()):
+            if size <= end and (t := table.get(word[end - size : end])) is not None:
+                if size == end:
+                    return t
+                pair = (states[end - size], t)
+                ok = known.get(pair)
+                if beside(*pair) if ok is None else ok:
+                    return t
+        return table[word[end - 1 : end]]  # a byte by itself is always a token
 
     def encode_words(self, words: list[str]) -> None:
         """Put the encodings of distinct words into self.words, walking their trie depth-first."""
@@ -132,16 +144,16 @@ class Model:
                 shared += 1
             del states[shared + 1 :]
             for end in range(shared + 1, len(raw)):
-                states.append(self._last(raw, end, self.inner, states))
+                states.append(self._last(raw, end, False, states))
             path = raw
-            end, t, out = len(raw), self._last(raw, len(raw), self.final, states), []
+            end, t, out = len(raw), self._last(raw, len(raw), True, states), []
             while True:
                 out.append(t)
                 end -= size_of[t]
                 if not end:
                     break
                 t = states[end]
-            self.words[word] = np.array(out[::-1], "<u4").tobytes()
+            self.words[word] = _packed(out[::-1])
 
     def _chunks_of(self, text: str) -> list[str]:
         if self.split_special and any(s in text for s in self.special):
@@ -159,19 +171,28 @@ class Model:
             self.chunks.clear()
         if len(self.words) > _CACHE:
             self.words.clear()
-        new = {c for cs in split for c in cs if c not in self.chunks}
+        new = set(chain.from_iterable(split)).difference(self.chunks)
         found = {}
         for c in new:
             if c in self.special:
-                self.chunks[c] = np.array([self.special[c]], "<u4").tobytes()
+                self.chunks[c] = _packed([self.special[c]])
+            elif c.isascii() and c.isalpha():
+                found[c] = (c.lower(),)
             else:
                 # Lower case character by character: no rule for a sigma at the end of a word.
-                found[c] = _WORD.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower())
-        self.encode_words([w for w in {w for ws in found.values() for w in ws} if w not in self.words])
+                plain = unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
+                found[c] = (plain,) if plain.isalpha() else _WORD.findall(plain)
+        self.encode_words(list(set(chain.from_iterable(found.values())).difference(self.words)))
         for c, ws in found.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
-        known = self.chunks
-        return [b"".join([known[c] for c in cs]) for cs in split]
+            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, cs)) for cs in split]
+
+    def rest(self) -> None:
+        """Give memory back at the end of a task."""
+        for cache in (self.chunks, self.words, self._beside):
+            if len(cache) > _KEEP:
+                cache.clear()
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space, as a file without a decoder asks for."""
@@ -179,6 +200,22 @@ class Model:
         return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def _sizes(table: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    """By the last two bytes of tokens, the sizes there are, largest first; by none for single bytes."""
+    found: dict[bytes, set[int]] = {b"": {1}}
+    for piece in table:
+        if len(piece) > 1:
+            found.setdefault(piece[-2:], set()).add(len(piece))
+    return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 _LOADED: dict[str, Model] = {}
 
 
@@ -193,43 +230,50 @@ def load(source: Broadcast | str) -> Model:
 
 def _vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The file's text, of a few MB, to every executor: the path need only be there on the driver."""
+    ship(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
-def _runs(texts: list, most: int = 4 << 20):
-    """Ranges of items with about `most` characters or bytes."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
+def _runs(sizes: list[int], most: int = 2 << 20):
+    """Ranges of items of about `most` bytes together."""
+    at, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
             yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            at, total = i + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """docs with text_col replaced by ids binary (token ids, little-endian unsigned 32-bit) and n_tokens long.
 
+    decoded_col: a string column more, what the ids decode to. It saves bpe_decode a second Python process per task.
+
     Special tokens written out in a text become their ids; none are added. Null and empty texts have no ids. Columns of
     docs named ids or n_tokens are replaced, all others pass through. An empty table stays empty.
     """
     source = _vocabulary(docs.sparkSession, vocabulary)
-    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens")])
+    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "n_tokens", decoded_col)])
     rest = [f for f in docs.schema if f.name != text_col]
     at = docs.columns.index(text_col)
 
     def run(batches):
         model = load(source)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for lo, hi in _runs(texts):
-                ids = model.encode(texts[lo:hi])
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+            for lo, hi in _runs(sizes):
+                ids = model.encode(batch.column(at).slice(lo, hi - lo).to_pylist())
                 others = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [*[f.name for f in rest], "ids", "n_tokens"])
+                decoded = [pa.array([model.decode(x) for x in ids], pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*others, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *decoded], names)
+        model.rest()
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "ids binary", "n_tokens long"]))
+    names = [*[f.name for f in rest], "ids", "n_tokens", *([decoded_col] if decoded_col else [])]
+    more = [f"`{decoded_col}` string"] if decoded_col else []
+    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "ids binary", "n_tokens long", *more]))
 
 
 def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -242,7 +286,7 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col:
         model = load(source)
         for batch in batches:
             ids = batch.column(at).to_pylist()
-            for lo, hi in _runs(ids):
+            for lo, hi in _runs([len(x or b"") for x in ids]):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.decode(x) if x else "" for x in ids[lo:hi]], pa.string())], [*names, out_col])
 

@@ -65,9 +65,7 @@ def vocabulary() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    coded = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    out = bpe.bpe_decode(coded, path)
+    out = bpe.bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), decoded_col="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

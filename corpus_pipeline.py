@@ -46,8 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
-    path = vocabulary()
-    out = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text", "lang", "source"), path), path)
+    out = bpe.bpe_encode(docs.select("doc_id", "text", "lang", "source"), vocabulary(), decoded_col="decoded")
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

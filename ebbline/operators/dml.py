@@ -68,10 +68,14 @@ def _lake_places(store: Store, table: Table, keys: DataFrame) -> DataFrame:
     return lake.select(PK, TIER).join(keys.select(PK), PK, "left_semi")
 
 
-def insert(store: Store, name: str, rows: DataFrame, replace: bool = False, valid: bool = False) -> dict[str, int]:
+def insert(store: Store, name: str, rows: DataFrame, replace: bool = False) -> dict[str, int]:
     """Route every row to its side of the cut-line; rows per place. replace: hot rows of the same keys are replaced."""
     table = store.table(name)
-    rows = rows if valid else store.validated(table, rows)
+    with store.validated(table, rows) as valid:
+        return _insert(store, table, valid, replace)
+
+
+def _insert(store: Store, table: Table, rows: DataFrame, replace: bool) -> dict[str, int]:
     is_hot = _is_hot(store, table)
     hot, cold = rows.filter(is_hot), rows.filter(~is_hot)
     at: Placement = table.mode.insert(False)

@@ -43,7 +43,6 @@ def ingest(store: Store, name: str, rows: DataFrame | list[str]) -> dict[str, in
     hold are rejected. Only the snapshot number moves. Keys must be unique.
     """
     table = store.table(name)
-    line = store.catalog.line(table.id)
     if isinstance(rows, list):
         read = store.spark.read.parquet(*rows)
         key = table.kind.to_long(F.col(table.tier_key))
@@ -51,8 +50,13 @@ def ingest(store: Store, name: str, rows: DataFrame | list[str]) -> dict[str, in
             if f.low is not None and not table.layout.one_bucket(f.low, f.high):
                 raise RoutingError(f"{f.path} lies in several buckets")
         rows = read
-    rows = store.validated(table, rows)
-    _window(rows, line.r, line.t, name)
+    with store.validated(table, rows) as valid:
+        return _ingest(store, table, valid)
+
+
+def _ingest(store: Store, table: Table, rows: DataFrame) -> dict[str, int]:
+    line = store.catalog.line(table.id)
+    _window(rows, line.r, line.t, table.name)
     reach = rows.agg(F.min(TIER), F.max(TIER), F.count("*")).first()
     if not reach[2]:
         return {"rows": 0, "replaced": 0}
@@ -76,7 +80,12 @@ def load(store: Store, name: str, label: str, rows: DataFrame, spool_above: int
     table = store.table(name)
     if done := store.catalog.label(table.id, label):
         return {"label": label, "replayed": True, "hot": done["hot"], "cold": done["cold"]}
-    rows = store.validated(table, rows)
+    with store.validated(table, rows) as valid:
+        out = _load(store, table, label, valid, spool_above)
+    return out or load(store, name, label, rows, spool_above)  # another load took the label meanwhile
+
+
+def _load(store: Store, table: Table, label: str, rows: DataFrame, spool_above: int) -> dict | None:
     t = store.catalog.line(table.id).t
     if table.mode.hot_complete:
         hot, cold, n_cold = rows, rows.limit(0), 0
@@ -84,7 +93,7 @@ def load(store: Store, name: str, label: str, rows: DataFrame, spool_above: int
         hot, cold = rows.filter(F.col(TIER) >= t), rows.filter(F.col(TIER) < t)
         n_cold = cold.count()
     if n_cold and table.mode.kind is Kind.DIRECT:
-        raise RoutingError(f"{name}: a direct table loads no rows below the cut-line")
+        raise RoutingError(f"{table.name}: a direct table loads no rows below the cut-line")
     if n_cold and table.mode.insert(False).check_retention:
         check_retention(store, table, cold)
     n_hot = hot.count()
@@ -98,7 +107,7 @@ def load(store: Store, name: str, label: str, rows: DataFrame, spool_above: int
     with store.catalog.transaction():
         if not store.catalog.claim_label(table.id, label, n_hot, n_cold, "staged" if staged else "done", [asdict(f) for f in staged]):
             store.discard([*staged, *delta, *files[0]])
-            return load(store, name, label, rows, spool_above)
+            return None
         if files[0] or files[1]:
             store.catalog.publish(table.id, "hot", *files)
         if delta:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +54,21 @@ class Store:
         out = rows.select(*columns)
         return out.select("*", pk_text(table.pk, table.schema).alias(PK), table.kind.to_long(F.col(table.tier_key)).alias(TIER))
 
-    def validated(self, table: Table, rows: DataFrame) -> DataFrame:
-        """prepared rows; keys must not be null nor repeat."""
-        out = self.prepared(table, rows)
+    @contextlib.contextmanager
+    def validated(self, table: Table, rows: DataFrame) -> Iterator[DataFrame]:
+        """prepared rows; keys must not be null nor repeat.
+
+        The input is computed once and kept (spilling to disk) for the checks and the write, which so see the same rows.
+        """
+        out = self.prepared(table, rows).persist()
+        try:
+            self._check_keys(table, out)
+            yield out
+        finally:
+            out.unpersist()
+
+    @staticmethod
+    def _check_keys(table: Table, out: DataFrame) -> None:
         bad = out.agg(F.count_if(F.col(PK).isNull()).alias("pk"), F.count_if(F.col(TIER).isNull()).alias("tier")).first()
         if bad.pk:
             raise RoutingError(f"{table.name}: a primary key is null")
@@ -62,7 +76,6 @@ class Store:
             raise RoutingError(f"{table.name}: a tier key is null")
         if twice := out.groupBy(PK).count().filter("count > 1").take(1):
             raise RoutingError(f"{table.name}: the key {twice[0][0]!r} is there twice")
-        return out
 
     # Files of the three sets
 

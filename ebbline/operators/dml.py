@@ -99,7 +99,11 @@ def _insert(store: Store, table: Table, rows: DataFrame, replace: bool) -> dict[
 
 
 def upsert(store: Store, name: str, rows: DataFrame) -> dict[str, int]:
-    """Insert rows, replacing those of the same key on the same side of the cut-line."""
+    """Insert rows, replacing those of the same key on the same side of the cut-line.
+
+    Below the line a row keeps the tier key that the lake has it at; update() is the way to move it, as only a move
+    remembers the place the lake's old row has to be removed from.
+    """
     return insert(store, name, rows, replace=True)
 
 

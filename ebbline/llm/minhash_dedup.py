@@ -8,8 +8,8 @@
 3. In each bucket every member is compared with a few pivots of the bucket: first signatures, then the full sets.
    Members never meet all members. Components are found on the confirmed links.
 4. What that leaves open are buckets that hold several components. A member's shingles that also occur in members of
-   other components bound its intersection with any of those, so most members can't have a further link; the pairs
-   between the others that the bound allows are compared as well. No link between bucket members is lost.
+   other components bound its intersection with any of those, so most members can't have a further link. The others are
+   compared in blocks, bucket by bucket, wherever the bound allows a link. No link between bucket members is lost.
 5. Components are found again with all links.
 """
 
@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, ship
 from ._text import U64, Words, binary, fitting, mix, rows_within, stream, window_hashes
 from .components import connected_components
 
@@ -29,6 +29,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Pivots of a bucket in step 3: its smallest id, and some by hashes.
 PIVOTS = 2
+#: Members of a bucket that one task compares with as many others in step 4.
+BLOCK = 512
 #: A signature's estimate may lie this many standard deviations low (5: once in 3 million).
 _SIGMAS = 5.0
 _A, _B = stream(11, HASHES) | U64(1), stream(12, HASHES)
@@ -84,6 +86,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take no part in links: component_id is null and kept is true. Other columns of docs are not read. An empty table
     gives no rows.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -140,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.join(pivots, "bucket").select("id", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
     pairs = pairs.filter("id <> p").select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
     links = cut(confirmed(pairs))
-    links = links.unionByName(cut(confirmed(_open_pairs(members, candidates, connected_components(links), percent))))
+    links = links.unionByName(cut(_open_links(members, candidates, connected_components(links), percent, least)))
 
     parts = connected_components(links)
     nodes = nodes.join(parts, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("__component"))
@@ -150,18 +153,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, candidates: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components that may still be links."""
+def _open_links(members: DataFrame, candidates: DataFrame, parts: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (u, v) between members of one bucket that lie in different components.
+
+    Members of a bucket that may still have such a link are compared in blocks of BLOCK: a task holds two blocks and
+    returns the links only. A pair that shares several buckets is compared in the first of them.
+    """
+    kind = members.schema["id"].dataType.simpleString()
     labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    labelled = cut(labelled.join(mixed, "bucket"))
+    labelled = cut(_mixed(labelled))
     ids = labelled.select("id", "component").distinct()
     shingles = candidates.join(ids, "id").select("id", "component", "n", F.explode("shingles").alias("shingle"))
     across = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     bound = shingles.join(across, "shingle").groupBy("id", "n").agg(F.count("*").alias("c")).filter(100 * F.col("c") >= percent * F.col("n"))
-    side = labelled.join(bound, "id").select("bucket", "id", "component", "n", "c")
-    a, b = (side.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "c")]) for k in "ab")
-    most: Column = F.least("c_a", "c_b")
-    may = (F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    may = may & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return a.join(b, "bucket").filter(may).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
+    left = cut(_mixed(labelled.join(bound, "id")))
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = left.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("bucket", "id", "component", "c", "own", other)
+    placed = placed.select("bucket", "id", "component", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = placed.join(candidates, "id")
+
+    def compare(key, table):
+        kinds = pa.schema([("u", table["id"].type), ("v", table["id"].type)])
+        bucket, i, j = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        code = lambda c: np.asarray(pa.compute.rank(table[c], tiebreaker="dense")).astype(np.int64)
+        place, component, own = code("id"), code("component"), np.asarray(table["own"])
+        n, c = (np.asarray(table[x]).astype(np.int64) for x in ("n", "c"))
+        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint16).reshape(-1, HASHES)
+        bands = _bands(minima)
+        lists = table["shingles"].combine_chunks()
+        flat, at = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
+        out = []
+        for x in range(table.num_rows):
+            most = np.minimum(c[x], c)
+            may = (place < place[x]) & (component != component[x]) & (100 * most >= percent * (n[x] + n - most)) & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n))
+            if i != j:
+                may &= own != own[x]
+            ys = np.flatnonzero(may)
+            if ys.size:
+                same = bands[ys] == bands[x]
+                ys = ys[bands[x][same.argmax(axis=1)] == bucket]
+            if ys.size:
+                ys = ys[(minima[ys] == minima[x]).mean(axis=1) >= least]
+            mine = flat[at[x] : at[x + 1]]
+            for y in ys:
+                both = np.intersect1d(mine, flat[at[y] : at[y + 1]], assume_unique=True).size
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    out.append((x, y))
+        u, v = (pa.array([p[k] for p in out], pa.int64()) for k in (0, 1))
+        return pa.Table.from_arrays([table["id"].take(u), table["id"].take(v)], schema=kinds)
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, f"u {kind}, v {kind}").distinct()
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return labelled.join(mixed, "bucket")

@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
-    gone = near_duplicates(docs, shingle=5, percent=85).filter(~F.col("kept")).select("doc_id")
+    """One document, the smallest id, of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    gone = near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

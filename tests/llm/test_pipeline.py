@@ -1,13 +1,14 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import os
+import random
 import sys
 
 import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
-from test_text_operators import brute_lines, brute_near, brute_overlaps
+from test_text_operators import brute_lines, brute_near, brute_overlaps, shingles
 
 import corpus_pipeline
 from ebbline.llm.quality import fit_quality, score_quality
@@ -53,3 +54,43 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_near_stage_links_from_four_fifths_on(spark):
+    draw = random.Random(21)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(300)]
+        rows.append((100 * g, " ".join(words)))
+        for k in range(1, 9):  # replaced words far from each other: five shingles each
+            w = list(words)
+            for at in draw.sample(range(10, 290, 10), k):
+                w[at] = f"new{draw.randrange(10**9)}"
+            rows.append((100 * g + k, " ".join(w)))
+    low = [f"x{k}" for k in range(104)]
+    rows += [(1000, " ".join(low)), (1001, " ".join([*low[10:], *[f"y{k}" for k in range(10)]]))]  # 90 of 110 shingles: 0.818
+    sets = {i: shingles(t) for i, t in rows}
+    share = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    assert sum(0.8 <= s < 0.85 for s in share) > 10
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()}
+    want = {i for i, (_, _, kept) in brute_near(rows, 80).items() if kept}
+    assert got == want != {i for i, (_, _, kept) in brute_near(rows, 85).items() if kept}
+
+
+def test_whole_run_from_the_lines_on(spark):
+    """What the last three stages keep and encode, against brute force with links from 0.8 on."""
+    import public_tokenizers
+    import tokenizers
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    near = brute_near(rows, 80)
+    kept = [(i, t) for i, t in rows if near[i][2]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = brute_overlaps(kept, items)
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in kept if not hit[i][1]}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, SF).collect()} == want

@@ -259,6 +259,13 @@ def seam_string_agg(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@_query("WITH {seam} SELECT user_id, date_trunc('hour', ts) AS hour, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM seam GROUP BY ALL")
+def seam_string_agg_whole(spark, sf_dir):
+    """All rows; a group is one user's hour, which doesn't grow with the table."""
+    rows = engine(spark, sf_dir).read("events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return rows.groupBy("user_id", "hour").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @_query("WITH {seam}, {live} SELECT o_orderpriority, count(*) AS n, min(o_orderkey) AS low FROM live WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) GROUP BY o_orderpriority")
 def orders_seam_sql(spark, sf_dir):
     """Plain SQL over registered tables."""

@@ -180,6 +180,16 @@ def delta_only_cold(spark, sf_dir):
     return e.read(name).select("event_id", "value")
 
 
+@_query("SELECT event_id + 10000000 AS event_id, value FROM events")
+def delta_only_cold_whole(spark, sf_dir):
+    """All events below the cut-line of a table whose lake has no snapshot yet."""
+    e, name = engine(spark, sf_dir), f"q{next(_SERIAL)}"
+    events = _read(spark, sf_dir, "events")
+    e.register(name, events.schema, ["event_id"], "ts", cut="2030-01-01")
+    e.insert(name, events.withColumn("event_id", F.col("event_id") + 10_000_000))
+    return e.read(name).select("event_id", "value")
+
+
 @_query(f"SELECT event_type, count(*) AS n, {_CENTS} AS cents FROM events WHERE NOT (ts < TIMESTAMP '{{cut}}' AND event_id % 300 = 0) GROUP BY event_type")
 def direct_lake_only(spark, sf_dir):
     e, name = engine(spark, sf_dir), f"q{next(_SERIAL)}"
@@ -358,6 +368,21 @@ def insert_select_sql(spark, sf_dir):
     return _state(e.read(q))
 
 
+@_query("SELECT 'hot' AS side, count(*) FILTER (WHERE ts >= TIMESTAMP '{cut}') AS n FROM events UNION ALL SELECT 'delta', count(*) FILTER (WHERE ts < TIMESTAMP '{cut}') FROM events UNION ALL SELECT 'lake', 0")
+def route_counts_whole(spark, sf_dir):
+    e, q = _clone(spark, sf_dir)
+    out = e.insert(q, _read(spark, sf_dir, "events").withColumn("event_id", F.col("event_id") + 50_000_000))
+    return spark.createDataFrame(list(out.items()), "side string, n long")
+
+
+@_query("WITH {seam} SELECT event_id, ts, event_type, value FROM seam UNION ALL SELECT event_id + 70000000, ts, event_type, value FROM events")
+def insert_select_whole(spark, sf_dir):
+    e, q = _clone(spark, sf_dir)
+    _read(spark, sf_dir, "events").createOrReplaceTempView("ebbline_raw_events")
+    e.sql(f"INSERT INTO {q} SELECT event_id + 70000000, ts, user_id, event_type, value, props FROM ebbline_raw_events")
+    return _state(e.read(q))
+
+
 @_query("SELECT event_id % 4000 AS event_id, arg_max(value, event_id) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-21' GROUP BY 1")
 def upsert_hot(spark, sf_dir):
     """Two upserts of overlapping keys: the later one wins."""

@@ -23,3 +23,13 @@ def test_string_agg_takes_every_row(spark):
         groups[r.user_id, r.ts.replace(minute=0, second=0, microsecond=0)].append(r.event_id)
     got = queries.QUERIES["seam_string_agg_whole"](spark, SF).collect()
     assert {(r.user_id, r.hour): r.ids for r in got} == {k: ",".join(map(str, sorted(v))) for k, v in groups.items()} and len(got) == len(groups)
+
+
+def test_writes_take_every_row(spark, events):
+    cut = [r for r in events if str(r.ts) < queries.CUT]
+    got = queries.QUERIES["delta_only_cold_whole"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((r.event_id + 10**7, r.value) for r in events)
+    got = dict(map(tuple, queries.QUERIES["route_counts_whole"](spark, SF).collect()))
+    assert got == {"hot": len(events) - len(cut), "delta": len(cut), "lake": 0}
+    got = [r for r in queries.QUERIES["insert_select_whole"](spark, SF).collect() if r.event_id >= 7 * 10**7]
+    assert sorted(map(tuple, got)) == sorted((r.event_id + 7 * 10**7, r.ts, r.event_type, r.value) for r in events)

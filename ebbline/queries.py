@@ -439,14 +439,16 @@ def compaction_fold(spark, sf_dir):
 def equality_delete_apply(spark, sf_dir):
     """The lake by itself after a fold: deletes apply to older rows of their bucket only."""
     e, q = _clone(spark, sf_dir)
-    e.compact(q, 10_000_000)
+    while e.compact(q, 10_000_000):
+        pass
     return e.seam(q).lake().select("event_id", "value")
 
 
 @_query("WITH {seam} SELECT event_id, value FROM seam WHERE ts < TIMESTAMP '{cut}'")
 def maintained_lake(spark, sf_dir):
     e, q = _clone(spark, sf_dir)
-    e.compact(q, 10_000_000)
+    while e.compact(q, 10_000_000):
+        pass
     e.maintain(q)
     assert not [f for f in e.store.catalog.files(e.store.table(q).id, "lake") if f.kind == "delete"]
     return e.seam(q).lake().select("event_id", "value")

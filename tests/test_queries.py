@@ -25,6 +25,14 @@ def test_string_agg_takes_every_row(spark):
     assert {(r.user_id, r.hour): r.ids for r in got} == {k: ",".join(map(str, sorted(v))) for k, v in groups.items()} and len(got) == len(groups)
 
 
+@pytest.mark.parametrize("name", ["equality_delete_apply", "maintained_lake"])
+def test_folds_go_on_until_nothing_is_left(spark, monkeypatch, name):
+    whole = Engine.compact
+    monkeypatch.setattr(Engine, "compact", lambda self, q, n=1000: whole(self, q, 1))  # as if each batch were beyond the bound
+    want = queries.QUERIES["cold_only"](spark, SF).collect()
+    assert sorted(map(tuple, queries.QUERIES[name](spark, SF).collect())) == sorted(map(tuple, want))
+
+
 def test_writes_take_every_row(spark, events):
     cut = [r for r in events if str(r.ts) < queries.CUT]
     got = queries.QUERIES["delta_only_cold_whole"](spark, SF).collect()

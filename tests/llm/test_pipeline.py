@@ -94,3 +94,11 @@ def test_whole_run_from_the_lines_on(spark):
     library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
     want = {i: library.encode(t, add_special_tokens=False).ids for i, t in kept if not hit[i][1]}
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text IS NOT NULL").orderBy("item_id").first().text
+    texts = [(None, f"before {passage} after"), (None, "a clean text"), (None, None), (1, passage), (2, "another clean text"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([texts[1], texts[2], texts[4], texts[5]], key=str)

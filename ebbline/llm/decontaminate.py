@@ -115,18 +115,21 @@ class Segment:
         return alive[which], start
 
     def near(self, terms: np.ndarray, within: int) -> np.ndarray:
-        """Positions of the rarest term with every other term in the same text, at most `within` words away."""
-        term, n = self.lookup(terms)
+        """Where a span of at most `within` words distance begins that holds every term: a term stands at its begin."""
+        term, n = self.lookup(np.unique(terms))
         if not n.size or not n.min():
             return np.zeros(0, np.int64)
-        rarest = int(np.argmin(n))
-        _, at = self.expand(term[[rarest]], n[[rarest]])
-        for t in np.delete(term, rarest):
-            text = self.text_of(at)
-            low, high = np.maximum(at - within, self.first[text]), np.minimum(at + within, self.first[text + 1] - 1)
-            base = t * (self.size + 1)
-            at = at[np.searchsorted(self.keys, base + high, "right") > np.searchsorted(self.keys, base + low)]
-        return at
+        rarest = [int(np.argmin(n))]
+        _, at = self.expand(term[rarest], n[rarest])
+        may = np.zeros(self.size + 1, np.int32)  # a span holds the rarest term, so it begins at most `within` words before one
+        np.add.at(may, np.maximum(at - within, self.first[self.text_of(at)]), 1)
+        np.add.at(may, at + 1, -1)
+        _, start = self.expand(term, n)
+        start = np.sort(start[np.cumsum(may)[start] > 0])
+        for t in term:
+            base, high = t * (self.size + 1), np.minimum(start + within, self.first[self.text_of(start) + 1] - 1)
+            start = start[np.searchsorted(self.keys, base + high, "right") > np.searchsorted(self.keys, base + start)]
+        return start
 
 
 class Phrases:
@@ -258,7 +261,10 @@ def _spans_inside(cover: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def find_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """(id, position): where the segment's rarest of the words stands with all the others at most `within` words away."""
+    """(id, position): where a span begins that holds all the words, its first and last word at most `within` words apart.
+
+    One of the words stands at the position. Only the text itself decides: how texts are dealt to segments doesn't matter.
+    """
     kind = index.schema["ids"].dataType.elementType.simpleString()
     ship(index.sparkSession)
     h = Words(pa.array(terms), NOT_ALNUM, lower=True).hashes()

@@ -226,6 +226,18 @@ def test_near_matches(spark):
     assert find_near(index, ["red", "absent"], 4).collect() == []
 
 
+def test_near_matches_do_not_depend_on_the_segment(spark):
+    rows = [(1, "a x b x c"), (2, "a b c"), (3, "b a c x x a"), (4, "c x x a b")]
+    common = {"a": "a " * 9, "b": "b " * 9, "c": "c " * 9}
+    want = sorted((i, p) for i, t in rows for p, w in enumerate(t.split()) if w != "x" and {"a", "b", "c"} <= set(t.split()[p : p + 4]))
+    assert {i for i, _ in want} == {2, 3}
+    for others in ("", "ab", "ac", "bc"):
+        filler = [(100 + k, common[w]) for k, w in enumerate(others)]
+        for parts in (1, 2, 5):
+            index = build_index(spark.createDataFrame(rows + filler, DOC).repartition(parts))
+            assert sorted(map(tuple, find_near(index, ["a", "b", "c"], 3).collect())) == want
+
+
 def test_sharding(spark):
     rows = [(None if i == 5 else i, f"t{i}", i % 7) for i in range(1500)] + [(3, "t3", 3)] * 3
     df = frame(spark, rows, "doc_id long, text string, slot long").drop("slot")

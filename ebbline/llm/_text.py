@@ -1,16 +1,18 @@
-"""Words and rolling hashes of whole Arrow text columns, vectorised over their UTF-8 bytes.
+"""Words of whole Arrow text columns and their hashes, vectorised.
 
-A hash of the bytes or words [i, j) is (S[j] - S[i]) * P**-i mod 2**64 over prefix sums S, so one pass over a column
-gives the hash of every word and of every window of words. All of it is deterministic across processes and machines.
+A word's hash takes its bytes eight at a time through a 64-bit mixer (xxh3 for long words); a window's hash is a tree of
+mixed pairs of such hashes. Nothing in either is a polynomial, so no pattern of letters or words makes two of them
+equal by construction. All of it is deterministic across processes and machines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -39,31 +41,10 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed * 1_000_003 & _MASK)) * U64(0x9E3779B97F4A7C15))
 
 
-@lru_cache(16)
-def _table(seed: int) -> np.ndarray:
-    return stream(seed, 256)
-
-
-@lru_cache(16)
-def _base(seed: int) -> tuple[int, int]:
-    p = int(stream(seed + 77, 1)[0]) | 5
-    return p, pow(p, -1, 1 << 64)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-_KEEP = 1 << 21
-
-
-def _powers(p: int, n: int) -> np.ndarray:
-    """p**0 .. p**(n-1) mod 2**64; up to _KEEP of them stay for the next call."""
-    got = _POWERS.get(p)
-    if got is None or got.size < n:
-        full = np.full(max(n, 1 << 16), p, U64)
-        full[0] = 1
-        got = np.cumprod(full, dtype=U64)
-        if got.size <= _KEEP:
-            _POWERS[p] = got
-    return got[:n]
+#: Words of more bytes are hashed by xxh3.
+_LONG = 64
+#: The low n bytes of a number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def rows_within(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -102,7 +83,10 @@ class Words:
         end[edge - 1] = word[edge - 1]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self._sums: dict[int, np.ndarray] = {}
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = self.data
+        # The eight bytes from each position on, as one number.
+        self._eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
 
     @property
     def counts(self) -> np.ndarray:
@@ -113,34 +97,79 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a[i] and b[i] have the same letters."""
+        size = self.ends[a] - self.starts[a]
+        out = size == self.ends[b] - self.starts[b]
+        done, at = 0, np.flatnonzero(out)
+        while at.size:
+            low = _LOW[np.minimum(size[at] - done, 8)]
+            out[at] = (self._eights[self.starts[a[at]] + done] ^ self._eights[self.starts[b[at]] + done]) & low == 0
+            done += 8
+            at = at[out[at] & (size[at] > done) & (a[at] != b[at])]
+            if done == _LONG:
+                for i in at.tolist():
+                    out[i] = self.data[self.starts[a[i]] : self.ends[a[i]]].tobytes() == self.data[self.starts[b[i]] : self.ends[b[i]]].tobytes()
+                break
+        return out
+
+    def letters(self, at: np.ndarray) -> np.ndarray:
+        """The bytes of some words, one after another."""
+        size = self.ends[at] - self.starts[at]
+        return self.data[np.repeat(self.starts[at], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and the place in them of each word."""
+        every = np.arange(self.starts.size)
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), every.size, [None, pa.py_buffer(ends), pa.py_buffer(self.letters(every))]).dictionary_encode()
+        return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+
     def spans_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
         """64-bit hashes of byte ranges."""
-        n = self.data.size
-        p, inverse = _base(seed)
-        with np.errstate(over="ignore"):
-            if seed not in self._sums:
-                sums = np.zeros(n + 1, U64)
-                np.cumsum(_table(seed)[self.data] * _powers(p, n), out=sums[1:], dtype=U64)
-                self._sums[seed] = sums
-            sums = self._sums[seed]
-            return mix((sums[ends] - sums[starts]) * _powers(inverse, n + 1)[starts])
+        size = ends - starts
+        h = stream(seed, _LONG + 1)[np.minimum(size, _LONG)]
+        at = np.arange(size.size)
+        for done in range(0, _LONG, 8):
+            if done:
+                at = np.flatnonzero((size > done) & (size <= _LONG))
+                if not at.size:
+                    break
+            h[at] = mix(h[at] ^ (self._eights[starts[at] + done] & _LOW[np.clip(size[at] - done, 0, 8)]))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]], seed)
+        return h
 
     def hashes(self, seed: int = 1) -> np.ndarray:
         """64-bit hashes of the words."""
         return self.spans_hash(self.starts, self.ends, seed)
 
-    def forget(self) -> None:
-        self._sums.clear()
+
+def _pairs(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of ordered pairs of hashes."""
+    return mix(left * U64(0x9E3779B97F4A7C15) + mix(right ^ U64(salt)))
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, size: int | np.ndarray, seed: int = 2) -> np.ndarray:
     """64-bit hashes of the windows of `size` words at the given word positions (the windows must fit)."""
-    p, inverse = _base(seed)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(words.size + 1, U64)
-        np.cumsum(mix(words ^ U64(int(stream(seed, 1)[0]))) * _powers(p, words.size), out=sums[1:], dtype=U64)
-        h = (sums[starts + size] - sums[starts]) * _powers(inverse, words.size + 1)[starts]
-        return mix(h + np.asarray(size).astype(U64) * U64(0x9E3779B97F4A7C15))
+    if not isinstance(size, int):
+        out = np.zeros(starts.size, U64)
+        for n in np.unique(size).tolist():
+            out[size == n] = window_hashes(words, starts[size == n], n, seed)
+        return out
+    if not starts.size:
+        return np.zeros(0, U64)
+    salts = stream(seed, 64).tolist()
+    out, done, width, level = None, 0, 1, words
+    while True:  # level[i]: the hash of the `width` words from i on
+        if size & width:
+            here = level[starts + done]
+            out = here if out is None else _pairs(out, here, salts[32 + width.bit_length()])
+            done += width
+        if done == size:
+            return mix(out ^ U64(salts[0]) ^ U64(size))
+        level = _pairs(level[:-width], level[width:], salts[width.bit_length()])
+        width *= 2
 
 
 def fitting(first: np.ndarray, size: int) -> np.ndarray:

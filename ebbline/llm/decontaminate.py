@@ -1,7 +1,8 @@
 r"""Benchmark decontamination on a distributed positional inverted index.
 
-The index is stored by segments of about a MB of text: per segment the sorted terms, where each one's postings begin,
-and the postings, i.e. word positions in ascending order. A phrase is found from its rarest term in the segment: its
+The index is stored by segments of about a MB of text: per segment the terms, where each one's postings begin, and the
+postings, i.e. word positions in ascending order. Terms are sorted by a 64-bit hash and kept with their letters: a term is
+found by its hash and confirmed by its letters; words of one hash take the next free numbers. A phrase is found from its rarest term in the segment: its
 postings, moved back by the term's offset, are the candidate starts, and the other terms' lists, from the rarest on,
 are intersected with them after the same move. A segment is searched by itself, so a phrase in a third of all texts
 costs its matches and nothing is shuffled.
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, ship
-from ._text import NOT_ALNUM, U64, Words, fitting, rows_within, window_hashes
+from ._text import NOT_ALNUM, U64, Words, fitting, rows_within
 
 SEGMENT_BYTES = 1 << 20
 #: A benchmark block's text; its windows take some 100 times that on the driver and an executor at most.
 BLOCK_BYTES = 1 << 20
-_SCHEMA = "segment long, ids array<{0}>, first binary, terms binary, starts binary, gaps binary"
+_COLUMNS = ["first", "terms", "letters", "sizes", "starts", "gaps"]
+_SCHEMA = "segment long, ids array<{0}>, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -49,33 +51,60 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for lo, hi in rows_within(batch.column(1), SEGMENT_BYTES):
                 words = Words(batch.column(1).slice(lo, hi - lo), NOT_ALNUM, lower=True)
-                h = words.hashes()
-                order = np.argsort(h, kind="stable").astype(np.int32)
-                terms, starts = np.unique(h[order], return_index=True)
-                gaps = np.diff(order, prepend=np.int32(0)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo)), *[pa.array([_pack(x)]) for x in (words.first.astype(np.int32), terms, starts.astype(np.int32), gaps)]], ["ids", "first", "terms", "starts", "gaps"])
+                order, terms, starts = _terms(words, words.hashes())
+                one = order[starts]
+                gaps = np.diff(order, prepend=0).astype(np.int32)
+                parts = (words.first.astype(np.int32), terms, words.letters(one), (words.ends - words.starts)[one].astype(np.int32), starts.astype(np.int32), gaps)
+                ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([_pack(x)]) for x in parts]], ["ids", *_COLUMNS])
 
     made = docs.select(id_col, text_col).mapInArrow(build, _SCHEMA.format(kind).partition(", ")[2])
     return cut(made.select(F.monotonically_increasing_id().alias("segment"), "*"))
 
 
+def _terms(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word positions by term, the terms' numbers in ascending order, and where each one's positions begin.
+
+    A term's number is its hash, or the next one that no term of other letters has.
+    """
+    h = h.copy()
+    while True:
+        order = np.argsort(h, kind="stable")
+        terms, starts = np.unique(h[order], return_index=True)
+        one = np.repeat(order[starts], np.diff(np.append(starts, h.size)))
+        other = order[~words.equal(order, one)]
+        if not other.size:
+            return order, terms, starts
+        h[other] += U64(1)
+
+
 class Segment:
     """One segment's postings."""
 
-    def __init__(self, first: bytes, terms: bytes, starts: bytes, gaps: bytes):
+    def __init__(self, first: bytes, terms: bytes, letters: bytes, sizes: bytes, starts: bytes, gaps: bytes):
         self.first, self.terms = _unpack(first, np.int32).astype(np.int64), _unpack(terms, U64)
+        ends = np.concatenate([[0], np.cumsum(_unpack(sizes, np.int32), dtype=np.int64)])
+        self.letters, self.begin = _unpack(letters, np.uint8).tobytes(), ends
         self.positions = np.cumsum(_unpack(gaps, np.int32), dtype=np.int64)
         self.size = self.positions.size
         self.starts = np.append(_unpack(starts, np.int32).astype(np.int64), self.size)
         # (term, position) as one ascending number.
         self.keys = np.repeat(np.arange(self.terms.size), np.diff(self.starts)) * (self.size + 1) + self.positions
 
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, vocabulary: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each term's place and its number of postings, 0 if it isn't there."""
-        if not self.terms.size:
-            return np.zeros(h.size, np.int64), np.zeros(h.size, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, h), self.terms.size - 1)
-        return at, np.where(self.terms[at] == h, self.starts[at + 1] - self.starts[at], 0)
+        place, n = np.zeros(h.size, np.int64), np.zeros(h.size, np.int64)
+        left, h = np.arange(h.size), h.copy()
+        while left.size and self.terms.size:
+            at = np.minimum(np.searchsorted(self.terms, h[left]), self.terms.size - 1)
+            there = self.terms[at] == h[left]
+            left, at = left[there], at[there]
+            same = np.array([self.letters[a:b] == vocabulary[i] for i, a, b in zip(left.tolist(), self.begin[at].tolist(), self.begin[at + 1].tolist(), strict=True)], bool)
+            place[left[same]] = at[same]
+            n[left[same]] = self.starts[at[same] + 1] - self.starts[at[same]]
+            left = left[~same]  # another word with this number: the next one
+            h[left] += U64(1)
+        return place, n
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -90,9 +119,9 @@ class Segment:
         which = np.repeat(np.arange(term.size), n)
         return which, self.positions[np.repeat(self.starts[term], n) + np.arange(which.size) - np.repeat(np.cumsum(n) - n, n)]
 
-    def phrases(self, vocabulary: np.ndarray, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence of the windows (rows of places in vocabulary, of given sizes): window and start."""
-        term, n = self.lookup(vocabulary)
+    def phrases(self, vocabulary: list[bytes], h: np.ndarray, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence of the windows (rows of places in vocabulary, of given sizes): window and start. h: the vocabulary's hashes."""
+        term, n = self.lookup(vocabulary, h)
         inside = np.arange(windows.shape[1]) < sizes[:, None]
         counts = np.where(inside, n[windows], np.iinfo(np.int64).max)
         alive = np.flatnonzero(counts.min(axis=1, initial=np.iinfo(np.int64).max) > 0)
@@ -114,9 +143,9 @@ class Segment:
             which, start = which[ok], start[ok]
         return alive[which], start
 
-    def near(self, terms: np.ndarray, within: int) -> np.ndarray:
+    def near(self, terms: list[bytes], h: np.ndarray, within: int) -> np.ndarray:
         """Where a span of at most `within` words distance begins that holds every term: a term stands at its begin."""
-        term, n = self.lookup(np.unique(terms))
+        term, n = self.lookup(terms, h)
         if not n.size or not n.min():
             return np.zeros(0, np.int64)
         rarest = [int(np.argmin(n))]
@@ -137,22 +166,24 @@ class Phrases:
 
     def __init__(self, ids: pa.Array, texts: pa.Array, size: int):
         words = Words(texts, NOT_ALNUM, lower=True)
-        h, n = words.hashes(), words.counts
+        n = words.counts
         short = np.flatnonzero((n > 0) & (n < size))
         at = np.concatenate([fitting(words.first, size), words.first[short]])
         sizes = np.concatenate([np.full(at.size - short.size, size), n[short]]).astype(np.int64)
-        self.vocabulary, place = np.unique(h, return_inverse=True)
-        keys, one, self.window = np.unique(window_hashes(h, at, sizes), return_index=True, return_inverse=True) if at.size else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.vocabulary, place = words.distinct()
+        self.hashes = Words(pa.array(self.vocabulary, pa.binary()), NOT_ALNUM).hashes()
+        inside = np.arange(size) < sizes[:, None]
+        rows = np.where(inside, place[np.minimum(at[:, None] + np.arange(size), max(place.size - 1, 0))] if place.size else 0, -1)
+        rows, one, self.window = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        self.window = self.window.reshape(-1)
+        self.windows, self.sizes = np.maximum(rows, 0), sizes[one]
         coded = ids.dictionary_encode()  # rows of one id are one item; a null id is one too
         self.ids = pa.concat_arrays([coded.dictionary, pa.nulls(1, ids.type)])
         item = np.asarray(pa.compute.fill_null(coded.indices.cast(pa.int64()), len(coded.dictionary)))
         self.item = item[np.searchsorted(words.first, at, "right") - 1]
-        self.sizes = sizes[one]
-        inside = np.arange(size) < self.sizes[:, None]
-        self.windows = np.where(inside, place[np.minimum(at[one][:, None] + np.arange(size), max(place.size - 1, 0))] if place.size else 0, 0)
         order = np.argsort(self.window, kind="stable")
         self.window, self.item = self.window[order], self.item[order]
-        self.begin = np.searchsorted(self.window, np.arange(keys.size + 1))
+        self.begin = np.searchsorted(self.window, np.arange(len(rows) + 1))
 
     def items_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into windows, item) for each item that holds the window."""
@@ -202,13 +233,13 @@ def find_overlaps(index: DataFrame, items: DataFrame, item_id: str = "item_id",
             for batch in batches:
                 for r in range(batch.num_rows):
                     row = batch.slice(r, 1)
-                    segment = Segment(*[row.column(c)[0].as_py() for c in ("first", "terms", "starts", "gaps")])
+                    segment = Segment(*[row.column(c)[0].as_py() for c in _COLUMNS])
                     ids = row.column("ids").flatten()
                     cover = np.zeros(segment.size + 1, np.int32)
                     text, item = np.zeros(0, np.int64), pa.array([], item_type)
                     if phrases is not None:
                         p = phrases.value
-                        found, start = segment.phrases(p.vocabulary, p.windows, p.sizes)
+                        found, start = segment.phrases(p.vocabulary, p.hashes, p.windows, p.sizes)
                         np.add.at(cover, start, 1)
                         np.add.at(cover, start + p.sizes[found], -1)
                         which, items = p.items_of(found)
@@ -267,14 +298,16 @@ def find_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
     """
     kind = index.schema["ids"].dataType.elementType.simpleString()
     ship(index.sparkSession)
-    h = Words(pa.array(terms), NOT_ALNUM, lower=True).hashes()
+    words = Words(pa.array(terms), NOT_ALNUM, lower=True)
+    vocabulary, _ = words.distinct()
+    h = Words(pa.array(vocabulary, pa.binary()), NOT_ALNUM).hashes()
 
     def search(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
-                segment = Segment(*[row.column(c)[0].as_py() for c in ("first", "terms", "starts", "gaps")])
-                at = segment.near(h, within)
+                segment = Segment(*[row.column(c)[0].as_py() for c in _COLUMNS])
+                at = segment.near(vocabulary, h, within)
                 text = segment.text_of(at)
                 yield pa.RecordBatch.from_arrays([row.column("ids").flatten().take(pa.array(text)), pa.array(at - segment.first[text], pa.int64())], ["id", "position"])
 

@@ -40,7 +40,6 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted inside each text, and where each text's begin."""
     words = Words(texts, lower=True)
     hashes = words.hashes()
-    words.forget()
     at = fitting(words.first, size)
     n = words.counts
     short = np.flatnonzero((n > 0) & (n < size))

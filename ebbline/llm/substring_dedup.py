@@ -6,7 +6,8 @@ text) is a repeat, and each word a repeat covers goes. Finding repeats doesn't n
 * Anchors of `anchor` words are hashed only at positions whose remainder modulo `PERIOD` is in `COVER`, a perfect
   difference set. For any two equal windows, whatever their positions, some anchor inside both lies on covered
   positions of both texts, as long as anchor + PERIOD - 1 <= window. So a window without a repeated anchor is no repeat.
-* Windows that hold a repeated anchor are extended to their full length: a 96-bit hash of the window decides.
+* Windows that hold a repeated anchor are extended to their full length: 96 bits of two hashes of the window decide,
+  which are made from two independent hashes of each word.
 
 Texts are dealt into groups of a few MB by a hash of their id. A group sends each distinct hash once, with whatever it
 needs to be compared, packed into one binary row per hash bucket; a bucket answers each group with the hashes that
@@ -46,8 +47,9 @@ def _anchors(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, n
     return at, window_hashes(hashes, at, size, 3)
 
 
-def _candidates(words: Words, hashes: np.ndarray, repeated: np.ndarray, window: int, anchor: int):
-    """Windows holding a repeated anchor: positions and two hashes."""
+def _candidates(words: Words, repeated: np.ndarray, window: int, anchor: int):
+    """Windows holding a repeated anchor: positions and two independent hashes, of 64 and 32 bits."""
+    hashes = words.hashes()
     at, h = _anchors(words, hashes, anchor)
     at = at[member(repeated, h)]
     text = np.searchsorted(words.first, at, "right") - 1
@@ -58,7 +60,7 @@ def _candidates(words: Words, hashes: np.ndarray, repeated: np.ndarray, window:
     np.add.at(cover, low, 1)
     np.add.at(cover, high + 1, -1)
     at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-    return at, window_hashes(hashes, at, window, 5), window_hashes(hashes, at, window, 6)
+    return at, window_hashes(hashes, at, window, 5), window_hashes(words.hashes(8), at, window, 6).astype(np.uint32)
 
 
 def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +72,11 @@ def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys (buckets: a power of two, by the leading bits)."""
-    bits = buckets.bit_length() - 1
-    return np.searchsorted(keys >> U64(64 - bits), np.arange(buckets + 1, dtype=U64)) if bits else np.array([0, keys.size])
+def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The buckets of sorted keys (buckets: a power of two, by the leading bits) and where each one's keys are."""
+    bucket = (keys >> U64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(keys.size, np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[starts], [slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), keys.size], strict=True)]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -100,9 +103,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = Words(table["__text"])
         _, h = _anchors(words, words.hashes(), anchor)
         keys, n = np.unique(h, return_counts=True)
-        cuts = _split(keys, buckets)
-        full = np.flatnonzero(np.diff(cuts))
-        parts = [slice(cuts[b], cuts[b + 1]) for b in full]
+        full, parts = _split(keys, buckets)
         return pa.table({"bucket": pa.array(full, pa.int32()), "group": pa.array([key[0].as_py()] * len(full), pa.int32()), "keys": binary([keys[p] for p in parts]), "twice": binary([n[p] > 1 for p in parts])})
 
     def answer_anchors(table):
@@ -123,15 +124,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not answers.num_rows or not table.num_rows:
             return kinds.empty_table()
         words = Words(table["__text"])
-        at, a, b = _candidates(words, words.hashes(), np.sort(np.concatenate(unpack(answers["keys"]))), window, anchor)
-        b = b.astype(np.uint32)
+        at, a, b = _candidates(words, np.sort(np.concatenate(unpack(answers["keys"]))), window, anchor)
         order, new = _runs(a, b)
         firsts = order[new]
         text = np.searchsorted(words.first, at[firsts], "right") - 1
-        a, b = a[firsts], b[firsts].astype(np.uint32)
-        cuts = _split(a, buckets)
-        full = np.flatnonzero(np.diff(cuts))
-        parts = [slice(cuts[x], cuts[x + 1]) for x in full]
+        a, b = a[firsts], b[firsts]
+        full, parts = _split(a, buckets)
         # A window names its text by its place in the row's short list of texts.
         texts, who = zip(*[np.unique(text[p], return_inverse=True) for p in parts], strict=True) if parts else ((), ())
         ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in texts])]), pa.int32())
@@ -161,9 +159,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if answers.num_rows:
             anchors = answers.filter(pa.compute.is_valid(answers["keys"]))
             late = answers.filter(pa.compute.is_valid(answers["a"]))
-            at, a, b = _candidates(words, words.hashes(), np.sort(np.concatenate(unpack(anchors["keys"]))), window, anchor)
-            b = b.astype(np.uint32)
-            words.forget()
+            at, a, b = _candidates(words, np.sort(np.concatenate(unpack(anchors["keys"]))), window, anchor)
             order, new = _runs(a, b)
             repeat = np.ones(order.size, bool)
             repeat[order] = ~new

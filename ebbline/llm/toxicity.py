@@ -36,7 +36,6 @@ def token_features(words: Words) -> np.ndarray:
     ranges = [(starts, ends), *[(starts, np.minimum(ends, starts + k)) for k in _HEADS], *[(np.maximum(starts, ends - k), ends) for k in _TAILS]]
     with np.errstate(over="ignore"):
         hashes = [mix(words.spans_hash(a, b) + U64(i)) >> U64(64 - BITS) for i, (a, b) in enumerate(ranges)]
-    words.forget()
     return np.stack(hashes, 1).astype(np.int32) if hashes else np.zeros((0, N_FEATURES), np.int32)
 
 

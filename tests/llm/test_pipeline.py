@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after} == good and 0 < len(after) < len(before)
     want = brute_lines(list(texts[1][0].items()))
     assert texts[1][1] == {i: t for i, (_, _, t) in want.items()} and all(r.n_chars == len(r.text) for r in steps[1][2])
-    want = brute_near(list(texts[2][0].items()))
+    want = brute_near(list(texts[2][0].items()), 80)
     assert set(texts[2][1]) == {i for i, (_, _, kept) in want.items() if kept}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = brute_overlaps(list(texts[3][0].items()), items)

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import shutil
+import sys
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Sizes beyond this are Spark's "unknown".
@@ -74,6 +79,15 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < _UNKNOWN else 2000 * df.count()
 
 
+def release() -> None:
+    """Give a Python worker's free memory back to the machine; workers outlive tasks and would keep their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):  # a libc without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(size: int, each: int, least: int = 1) -> int:
     """So many parts of about `each` bytes."""
     return max(least, -(-size // each))

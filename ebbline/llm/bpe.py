@@ -5,7 +5,8 @@ for which no merge across their border comes before the merges that built them.
 from its last token and the encodings of shorter prefixes. Distinct words go into a trie; depth-first, each node gets
 the last token of its prefix from the nodes above it, once for all words that share the prefix. A trie in depth-first
 order is the sorted list of its words, each sharing its longest common prefix with the one before, and that is how it
-is walked: the stack of states above a node is all that is kept.
+is walked: the stack of states above a node is all that is kept. The tokens that end at a node come from an automaton
+that runs along: its state is the longest end of the prefix that begins some token. Its states are made as they are met.
 
 Supported files: `tokenizers` JSON files of byte-level BPE with a word-end suffix, NFC, white space and lower-case
 normalisation, and the split pattern below.
@@ -14,9 +15,7 @@ normalisation, and the split pattern below.
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -26,7 +25,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from ._spark import ship
+from ._spark import release, ship
 
 #: Unicode White_Space, and the pattern of words in the normalised text.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -35,8 +34,10 @@ _SPLIT = regex.compile(f"[{_SPACES}]+")
 #: str.split() also splits at these, which aren't white space here.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words and chunks that a task remembers; a worker keeps fewer between tasks.
+#: Chunks that a task remembers from run to run; beyond, only those of the last run stay. A worker keeps fewer between tasks.
 _CACHE, _KEEP = 200_000, 20_000
+#: Pairs of neighbours and moves of the automaton that are remembered.
+_PAIRS, _MOVES = 200_000, 200_000
 
 
 def _byte_symbols() -> list[str]:
@@ -70,37 +71,53 @@ class Model:
             core = t[: -len(self.suffix)] if at_end else t
             if all(c in byte for c in core):
                 (self.final if at_end else self.inner)[bytes(byte[c] for c in core)] = i
-        self.rank: dict[tuple[int, int], int] = {}
+        self.width = len(self.names)  # a pair of tokens is the number left * width + right
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank[vocab[a], vocab[b]] = r
+            self.rank[vocab[a] * self.width + vocab[b]] = r
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b], r))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._edges: tuple[dict, dict] = {}, {}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
         # A token that its own bytes don't encode to never appears.
         for table in (self.inner, self.final):
             for piece, t in [*table.items()]:
                 if t in self.parts and not self.beside(*self.parts[t][:2], self.parts[t][2]):
                     del table[piece]
-        self.sizes = _sizes(self.inner), _sizes(self.final)
         self.size = {t: len(p) for table in (self.inner, self.final) for p, t in table.items()}
-        self.words: dict[str, bytes] = {}
+        self.begins = {p[:n] for table in (self.inner, self.final) for p in table for n in range(len(p) + 1)}
+        self.raw_id = [i.to_bytes(4, "little") for i in range(self.width)]
+        self.spoken = pa.array(self.names, pa.string())
         self.chunks: dict[str, bytes] = {}
+        self._forget_moves()
+
+    def _forget_moves(self) -> None:
+        self._ends, self._number = [b""], {b"": 0}
+        self._moves: dict[int, int] = {}
+        self._inner_here: list[tuple] = [()]
+        self._final_here: list[tuple] = [()]
+
+    def _move(self, state: int, byte: int) -> int:
+        """The automaton's state after one more byte, remembered."""
+        end = self._ends[state] + bytes((byte,))
+        while end not in self.begins:
+            end = end[1:]
+        to = self._number.get(end)
+        if to is None:
+            to = self._number[end] = len(self._ends)
+            self._ends.append(end)
+            for table, here in ((self.inner, self._inner_here), (self.final, self._final_here)):
+                here.append(tuple((len(end) - i, table[end[i:]]) for i in range(len(end)) if end[i:] in table))
+        self._moves[state << 8 | byte] = to
+        return to
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces at one end of a token as it was merged (0: left end, 1: right end), each with the rank of the merge that took it up."""
-        got = self._edges[side].get(token)
-        if got is None:
-            got, taken, t = [], float("inf"), token
-            while True:
-                got.append((t, taken))
-                if t not in self.parts:
-                    break
-                taken = self.parts[t][2]
-                t = self.parts[t][side]
-            self._edges[side][token] = got
+        got, taken = [(token, float("inf"))], 0
+        while token in self.parts:
+            taken, token = self.parts[token][2], self.parts[token][side]
+            got.append((token, taken))
         return got
 
     def beside(self, left: int, right: int, last: float = float("inf")) -> bool:
@@ -109,51 +126,64 @@ class Model:
         A merge across it happens if it comes before both its pieces are taken up by merges inside their tokens. Of
         equal merges the one further left comes first: inside `left` before the border, the border before `right`.
         """
-        key = (left, right)
-        if last == float("inf") and (got := self._beside.get(key)) is not None:
-            return got
-        rank = self.rank
-        out = not any((q := rank.get((x, y))) is not None and q < x_taken and q <= y_taken and q < last for x, x_taken in self._edge(left, 1) for y, y_taken in self._edge(right, 0))
-        if last == float("inf"):
-            if len(self._beside) > 500_000:
-                self._beside.clear()
-            self._beside[key] = out
+        rank, rights = self.rank, self._edge(right, 0)
+        for x, x_taken in self._edge(left, 1):
+            row = x * self.width
+            for y, y_taken in rights:
+                q = rank.get(row + y)
+                if q is not None and q < x_taken and q <= y_taken and q < last:
+                    return False
+        return True
+
+    def _border(self, pair: int) -> bool:
+        """beside() of a pair's number, remembered."""
+        out = self._beside[pair] = self.beside(*divmod(pair, self.width))
         return out
 
-    def _last(self, word: bytes, end: int, final: bool, states: list[int]) -> int:
-        """The last token of word[:end], by the states of the shorter prefixes."""
-        table, beside, known = self.final if final else self.inner, self.beside, self._beside
-        for size in self.sizes[final].get(word[end - 2 : end] if end > 1 else b"", ()):
-            if size <= end and (t := table.get(word[end - size : end])) is not None:
-                if size == end:
-                    return t
-                pair = (states[end - size], t)
-                ok = known.get(pair)
-                if beside(*pair) if ok is None else ok:
-                    return t
-        return table[word[end - 1 : end]]  # a byte by itself is always a token
-
-    def encode_words(self, words: list[str]) -> None:
-        """Put the encodings of distinct words into self.words, walking their trie depth-first."""
-        size_of, path, states = self.size, b"", [0]
-        for raw, word in sorted((w.encode(), w) for w in words):
-            shared = 0
-            for a, b in zip(path[: len(states) - 1], raw[:-1], strict=False):
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The encodings of distinct words, by walking their trie depth-first."""
+        if len(self._beside) > _PAIRS:
+            self._beside.clear()
+        if len(self._moves) > _MOVES:
+            self._forget_moves()
+        size_of, width, known, raw_id, out = self.size, self.width, self._beside, self.raw_id, {}
+        moves, inner_here, final_here = self._moves, self._inner_here, self._final_here
+        # Above the current node: the last token of each prefix, and the automaton's state after it.
+        path, tokens, places = b"", [0], [0]
+        for raw, word in sorted([(w.encode(), w) for w in words]):
+            end = 0
+            for a, b in zip(path, raw, strict=False):
                 if a != b:
                     break
-                shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(raw)):
-                states.append(self._last(raw, end, False, states))
-            path = raw
-            end, t, out = len(raw), self._last(raw, len(raw), True, states), []
-            while True:
-                out.append(t)
+                end += 1
+            full = len(raw)
+            end = min(end, len(path) - 1, full - 1) if end else 0
+            del tokens[end + 1 :], places[end + 1 :]
+            path, place = raw, places[end]
+            for byte in raw[end:]:
+                end += 1
+                place = moves.get(place << 8 | byte) or self._move(place, byte)
+                # Longest first; a byte by itself is always a token, and the last resort.
+                for size, t in inner_here[place] if end < full else final_here[place]:
+                    if size == end:
+                        break
+                    pair = tokens[end - size] * width + t
+                    if pair in known:
+                        if known[pair]:
+                            break
+                    elif self._border(pair):
+                        break
+                if end < full:
+                    tokens.append(t)
+                    places.append(place)
+            ids = [raw_id[t]]
+            while size_of[t] < end:
                 end -= size_of[t]
-                if not end:
-                    break
-                t = states[end]
-            self.words[word] = _packed(out[::-1])
+                t = tokens[end]
+                ids.append(raw_id[t])
+            ids.reverse()
+            out[word] = b"".join(ids)
+        return out
 
     def _chunks_of(self, text: str) -> list[str]:
         if self.split_special and any(s in text for s in self.special):
@@ -167,53 +197,36 @@ class Model:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of whole texts as little-endian unsigned 32-bit integers."""
         split = [self._chunks_of(t) if t else [] for t in texts]
+        every = set(chain.from_iterable(split))
         if len(self.chunks) > _CACHE:
-            self.chunks.clear()
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        new = set(chain.from_iterable(split)).difference(self.chunks)
-        found = {}
-        for c in new:
+            self.chunks = {c: self.chunks[c] for c in every if c in self.chunks}
+        chunks, found = self.chunks, {}
+        for c in every.difference(chunks):
             if c in self.special:
-                self.chunks[c] = _packed([self.special[c]])
+                chunks[c] = self.raw_id[self.special[c]]
             elif c.isascii() and c.isalpha():
                 found[c] = (c.lower(),)
             else:
                 # Lower case character by character: no rule for a sigma at the end of a word.
-                plain = unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
+                plain = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
                 found[c] = (plain,) if plain.isalpha() else _WORD.findall(plain)
-        self.encode_words(list(set(chain.from_iterable(found.values())).difference(self.words)))
+        words = self.encode_words(list(set(chain.from_iterable(found.values()))))
         for c, ws in found.items():
-            self.chunks[c] = self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws])
-        known = self.chunks.__getitem__
+            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        known = chunks.__getitem__
         return [b"".join(map(known, cs)) for cs in split]
 
     def rest(self) -> None:
         """Give memory back at the end of a task."""
-        for cache in (self.chunks, self.words, self._beside):
-            if len(cache) > _KEEP:
-                cache.clear()
-
-    def decode(self, ids: bytes) -> str:
-        """Tokens joined by one space, as a file without a decoder asks for."""
-        names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-
-def _sizes(table: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
-    """By the last two bytes of tokens, the sizes there are, largest first; by none for single bytes."""
-    found: dict[bytes, set[int]] = {b"": {1}}
-    for piece in table:
-        if len(piece) > 1:
-            found.setdefault(piece[-2:], set()).add(len(piece))
-    return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
-
+        if len(self.chunks) > _KEEP:
+            self.chunks = {}
+        release()
 
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+    def decode(self, ids: list[bytes | None]) -> pa.Array:
+        """The texts of rows of tokens, joined by one space, as a file without a decoder asks for."""
+        flat = np.frombuffer(b"".join([x for x in ids if x]), "<u4").astype(np.int32)
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 if x else 0 for x in ids])]).astype(np.int32)
+        return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(at), self.spoken.take(pa.array(flat))), " ")
 
 
 _LOADED: dict[str, Model] = {}
@@ -267,7 +280,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", decoded
             for lo, hi in _runs(sizes):
                 ids = model.encode(batch.column(at).slice(lo, hi - lo).to_pylist())
                 others = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns) if i != at]
-                decoded = [pa.array([model.decode(x) for x in ids], pa.string())] if decoded_col else []
+                decoded = [model.decode(ids)] if decoded_col else []
                 yield pa.RecordBatch.from_arrays([*others, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *decoded], names)
         model.rest()
 
@@ -288,6 +301,6 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col:
             ids = batch.column(at).to_pylist()
             for lo, hi in _runs([len(x or b"") for x in ids]):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.decode(x) if x else "" for x in ids[lo:hi]], pa.string())], [*names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(ids[lo:hi])], [*names, out_col])
 
     return rows.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], f"`{out_col}` string"]))

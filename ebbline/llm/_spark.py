@@ -51,26 +51,34 @@ def _bytes(text: str) -> int:
     return int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m and int(m[1]) else 1 << 62
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: materialise in the folder every executor shares (spark.checkpoint.dir).
 
-    Only a session without that setting (tests, one machine) gets a folder of its own.
+    What was shuffled on the way goes as soon as the rows are stored. Only a session without that setting (tests, one
+    machine) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbline-"))
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ebbline-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbline-"))
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:  # a plan takes the setting when it is made
+        once = df.select("*")
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return once.checkpoint()
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete the files of a frame that cut() returned and that nothing reads any more."""
+    plan = stored._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (at := plan.rdd().getCheckpointFile()).isDefined():
+        sc = stored.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

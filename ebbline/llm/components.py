@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, drop
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
@@ -26,18 +26,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+#: Edges of a task; a graph of few edges isn't spread over all shuffle partitions.
+TASK_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node of edges(u, v): component is the smallest node that can be reached.
 
     Nodes without edges aren't returned; loops, repeated and reversed edges are allowed, edges with a null end are
     ignored, no edges give no rows. Each round is two shuffles on the edges, whose number never grows, and is cut into
-    the shared checkpoint folder. The rounds end when the set of edges stays the same.
+    the shared checkpoint folder, where it replaces the round before. The rounds end when the set of edges stays the same.
     """
     edges = cut(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
-    seen = None
+    tasks = max(8, -(-edges.count() // TASK_EDGES))
+    edges, seen = edges.coalesce(tasks), None
+    last = None
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)))
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        stored = cut(_small_star(_large_star(edges).coalesce(tasks)).coalesce(tasks))
+        now = tuple(stored.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if last is not None:
+            drop(last)
+        edges = last = stored
         if now == seen:
             break
         seen = now

@@ -5,8 +5,9 @@
    costs one row from here on.
 2. BANDS bands of ROWS minima give buckets. Two texts at similarity s share none with probability
    (1 - s**ROWS)**BANDS: 7e-9 at 0.85.
-3. In each bucket every member is compared with a few pivots of the bucket: first signatures, then the full sets.
-   Members never meet all members. Components are found on the confirmed links.
+3. Every text is compared with the smallest pivot of its buckets, and then with the pivots of its buckets that this
+   left in other components: first signatures, then the full sets. Members never meet all members. Components are found
+   on the confirmed links.
 4. What that leaves open are buckets that hold several components. A member's shingles that also occur in members of
    other components bound its intersection with any of those, so most members can't have a further link. The others are
    compared in blocks, bucket by bucket, wherever the bound allows a link. No link between bucket members is lost.
@@ -113,11 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     every = cut(rows.mapInArrow(sketch, f"id {kind}, n long, f1 long, f2 long, minima binary"))
     linked = every.filter("n > 0 AND id IS NOT NULL")
-    nodes = linked.groupBy("f1", "f2").agg(F.min("id").alias("node"))
-    reps = linked.join(nodes, (linked.id == nodes.node) & (linked.f1 == nodes.f1) & (linked.f2 == nodes.f2)).select("id", "n", "minima")
+    reps = cut(linked.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "minima")).alias("r")).select("f1", "f2", "r.*"))
+    nodes = reps.select("f1", "f2", F.col("id").alias("node"))
+    reps = reps.select("id", "n", "minima")
     entries = reps.select("id", "minima").mapInArrow(buckets, f"bucket long, id {kind}")
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("bucket")
-    members = cut(entries.join(shared, "bucket"))
+    pivots = entries.groupBy("bucket").agg(F.min("id").alias("p0"), F.max("id").alias("high"), *[F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"].alias(f"p{i}") for i in range(1, PIVOTS)])
+    members = cut(entries.join(pivots.filter("p0 <> high").drop("high"), "bucket"))
     wanted = members.select("id").distinct()
     texts = rows.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles array<long>")
     candidates = cut(texts.join(reps, "id").select("id", "shingles", F.size("shingles").alias("n"), "minima"))
@@ -138,11 +140,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = F.size(F.array_intersect("su", "sv"))
         return close.join(a, "u").join(b, "v").filter(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
-    pivots = members.groupBy("bucket").agg(F.min("id").alias("p0"), *[F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"].alias(f"p{i}") for i in range(1, PIVOTS)])
-    pairs = members.join(pivots, "bucket").select("id", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
-    pairs = pairs.filter("id <> p").select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
-    links = cut(confirmed(pairs))
-    links = links.unionByName(cut(_open_links(members, candidates, connected_components(links), percent, least)))
+    first = members.groupBy("id").agg(F.min("p0").alias("v")).filter("id <> v").select(F.col("id").alias("u"), "v")
+    links = cut(confirmed(first))
+    parts = cut(connected_components(links))
+    pairs = members.select("id", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).filter("id <> p")
+    pairs = pairs.select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
+    links = cut(links.unionByName(confirmed(_apart(pairs, parts))))
+    parts = cut(connected_components(links))
+    links = links.unionByName(cut(_open_links(members.select("bucket", "id"), candidates, parts, percent, least)))
 
     parts = connected_components(links)
     nodes = nodes.join(parts, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("__component"))
@@ -152,6 +157,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose ends lie in different components."""
+    a, b = (parts.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
+    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    return both.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def _open_links(members: DataFrame, candidates: DataFrame, parts: DataFrame, percent: int, least: float) -> DataFrame:
     """Links (u, v) between members of one bucket that lie in different components.
 

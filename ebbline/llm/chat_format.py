@@ -6,6 +6,9 @@ schema, a JSON record's from the schema of its variant. The fingerprint selects
 Template, per turn: ``<|im_start|>role\ntext<|im_end|>\n``. A control string inside a text gets one more backslash after
 its first character (``</s>`` -> ``<\/s>``, ``<\/s>`` -> ``<\\/s>``), so no text can open or close a turn, and taking one
 backslash away again restores every text. In roles a backslash becomes ``\b`` and a newline ``\n`` as well.
+
+The loss mask has a run per turn: so many code points before the learned text, its own, and those after it. Whatever is
+done to a conversation is done turn by turn, so its cost grows with its length and not with the square of it.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ LAYOUTS: dict[str, dict] = {
     "system_prompt_response": {"paths": ["prompt", "response", "system"], "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
     "question_answer": {"paths": ["answer", "question"], "fields": [("user", ["question"]), ("assistant", ["answer"])]},
 }
-#: Other names of roles.
+#: Other names of roles, in records; the roles of turn rows stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -85,15 +88,16 @@ def _from_array(turns: Column, role: str, text: str) -> Column:
 def canonical_turns(records: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(id_col, turns array<struct<role,text>>) from a table in any layout of LAYOUTS, chosen by its schema's fingerprint.
 
-    Turn rows are ordered by their turn number, equal numbers by role and text, nulls first. Null roles and texts are
-    empty texts. Further columns are ignored. Collecting a conversation's rows is what the result asks for: a formatted
+    Turn rows are ordered by their turn number, equal numbers by role and text, nulls first; their roles are kept as
+    they are, while records' roles get their canonical names (ROLES). Null roles and texts are empty texts, also inside
+    arrays; a null turn inside an array is an empty text of an empty role, a null array has no turns. Further columns are ignored. Collecting a conversation's rows is what the result asks for: a formatted
     conversation is one text.
     """
     name = table_layout(records.drop(id_col).schema if "conv_id" not in records.columns or id_col != "conv_id" else records.schema)
     layout = LAYOUTS[name]
     if "rows" in layout:
         c = layout["rows"]
-        row = F.struct(F.col(c["order"]).alias("at"), _role(F.col(c["role"])).alias("role"), F.coalesce(F.col(c["text"]), F.lit("")).alias("text"))
+        row = F.struct(F.col(c["order"]).alias("at"), F.coalesce(F.col(c["role"]), F.lit("")).alias("role"), F.coalesce(F.col(c["text"]), F.lit("")).alias("text"))
         kept = records.groupBy(F.col(c["conversation"]).alias(id_col)).agg(F.sort_array(F.collect_list(row)).alias("turns"))
         return kept.select(id_col, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     if "array" in layout:
@@ -153,35 +157,60 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
+#: Turns that offsets are summed up over at once.
+_BLOCK = 256
+
+
+def _offsets(sizes: Column) -> Column:
+    """The sum of all numbers before each one: inside blocks of _BLOCK, then over the blocks."""
+    none = F.array().cast("array<bigint>")
+
+    def before(numbers: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all"))
+        return F.aggregate(numbers, start, step, lambda a: a["all"])
+
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a + n)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / _BLOCK).cast("int"), F.lit(0))), lambda i: F.slice(sizes, i * _BLOCK + 1, F.lit(_BLOCK)))
+    starts = before(F.transform(blocks, total))
+    return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.transform(before(block), lambda x: x + at)))
+
+
 def format_chat(turns: DataFrame, id_col: str = "conv_id", learned: str = "assistant") -> DataFrame:
-    """(id_col, formatted, loss_spans): the conversation in the template and the code-point ranges of learned texts.
+    """(id_col, formatted, loss_runs, loss_spans): the conversation in the template and its loss mask, in code points.
 
-    loss_spans array<struct<start:long,end:long>> holds each text of role `learned`, without its markers, in order.
-    No turns: an empty text and no spans.
+    loss_runs array<struct<before:long,learned:long,after:long>> has a run for each turn, which together cover the text.
+    loss_spans array<struct<start:long,end:long>> has the range of each text of role `learned`, without its markers, in
+    order. No turns: an empty text, no runs and no spans.
     """
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learned).alias("learn")))
     rows = turns.select(id_col, parts.alias("__parts"))
     tail = F.lit(END + "\n")
-    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END) + 1
-    start = F.lit(0).cast("long")
-    spans = F.aggregate(
-        "__parts",
-        F.struct(start.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.when(p["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))))).otherwise(a["spans"]).alias("spans")),
-        lambda a: a["spans"],
-    )
+
+    def run(p: Column) -> Column:
+        head, body, rest = F.length(p["head"]).cast("long"), F.length(p["body"]).cast("long"), F.lit(len(END) + 1).cast("long")
+        return F.struct(F.when(p["learn"], head).otherwise(head + body + rest).alias("before"), F.when(p["learn"], body).otherwise(0).alias("learned"), F.when(p["learn"], rest).otherwise(0).alias("after"))
+
     whole = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], tail)), "")
-    return rows.select(id_col, whole.alias("formatted"), spans.alias("loss_spans"))
+    rows = rows.select(id_col, "__parts", whole.alias("formatted"), F.transform("__parts", run).alias("loss_runs"))
+    starts = _offsets(F.transform("loss_runs", lambda r: r["before"] + r["learned"] + r["after"]))
+    spans = F.zip_with("loss_runs", starts, lambda r, at: F.struct((at + r["before"]).alias("start"), (at + r["before"] + r["learned"]).alias("end"), (r["after"] > 0).alias("learn")))
+    spans = F.transform(F.filter(spans, lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return rows.select(id_col, "formatted", "loss_runs", spans.alias("loss_spans"))
+
+
+def _pieces(formatted: Column) -> Column:
+    """The turns' parts of a formatted conversation, without their ends."""
+    pieces = F.split(formatted, r"<\|im_end\|>\n")
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation."""
-    pieces = F.split(formatted, r"<\|im_end\|>\n")
-    pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    inner = F.transform(pieces, lambda p: F.substr(p, F.lit(len(START) + 1)))
+    inner = F.transform(_pieces(formatted), lambda p: F.substr(p, F.lit(len(START) + 1)))
     return F.transform(inner, lambda p: F.struct(_unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.length(F.substring_index(p, "\n", 1)) + 2)).alias("text")))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+def loss_text(formatted: Column, runs: Column) -> Column:
+    """All text under the loss mask (loss_runs), unescaped, nothing between."""
+    return F.array_join(F.zip_with(_pieces(formatted), runs, lambda p, r: unescape(F.substr(p, (r["before"] + 1).cast("int"), r["learned"].cast("int")))), "")

@@ -1,4 +1,3 @@
-import hashlib
 import json
 import random
 
@@ -19,7 +18,7 @@ def expected(turns):
 
 def run(spark, df):
     out = chat.format_chat(df)
-    out = out.select("conv_id", "formatted", "loss_spans", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    out = out.select("conv_id", "formatted", "loss_runs", "loss_spans", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_runs")).alias("learned"))
     return {r.conv_id: r for r in out.collect()}
 
 
@@ -35,7 +34,25 @@ def test_format_reads_back(spark):
         turns, learned = expected(c)
         assert [tuple(t) for t in got[i].turns] == turns and got[i].learned == learned
         assert got[i].formatted.count(chat.START) == got[i].formatted.count(chat.END) == len(c)
-        assert sum(s.end - s.start for s in got[i].loss_spans) >= len(learned)
+        spans = [got[i].formatted[s.start : s.end] for s in got[i].loss_spans]
+        assert len(spans) == sum(r == "assistant" for r, _ in c) and all(f"{chat.START}assistant\n{x}{chat.END}" in got[i].formatted for x in spans)
+        assert sum(map(sum, got[i].loss_runs)) == len(got[i].formatted) and [r.learned for r in got[i].loss_runs if r.after] == [len(x) for x in spans]
+
+
+def test_long_conversations(spark):
+    """Many turns of one conversation, in time that grows with their number; offsets go on over blocks of turns."""
+    import time
+
+    turns = [("user" if k % 2 else "assistant", f"turn {k} " + "é🙂x" * 30) for k in range(16_000)]
+    df = chat.canonical_turns(spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], TURNS))
+    began = time.time()
+    got = run(spark, df)[1]
+    took = time.time() - began
+    assert [tuple(t) for t in got.turns] == turns and got.learned == expected(turns)[1] and took < 40
+    assert [got.formatted[s.start : s.end] for s in got.loss_spans] == [t for r, t in turns if r == "assistant"]
+    long = "long text [INST] " * 200_000
+    got = run(spark, chat.canonical_turns(spark.createDataFrame([(1, 0, "assistant", long), (1, 1, "user", long)], TURNS)))[1]
+    assert got.learned == long and [t.text for t in got.turns] == [long, long]
 
 
 def test_turn_rows_edges(spark):
@@ -43,7 +60,7 @@ def test_turn_rows_edges(spark):
     df = spark.createDataFrame(rows, TURNS).withColumn("turns", F.lit(3)).withColumn("formatted", F.lit("x"))
     got = run(spark, chat.canonical_turns(df))
     assert [tuple(t) for t in got[1].turns] == [("user", ""), ("", "x")]
-    assert [tuple(t) for t in got[2].turns] == [("user", "b"), ("assistant", "c")] and got[2].learned == "c"
+    assert [tuple(t) for t in got[2].turns] == [("human", "b"), ("gpt", "c")] and got[2].learned == ""  # a row's role is its own
     assert len(got[3].turns) == 2
     assert run(spark, chat.canonical_turns(spark.createDataFrame([], TURNS))) == {}
 
@@ -127,5 +144,7 @@ def test_bpe_prefix_states_survive_small_caches(library, monkeypatch):
         assert np.frombuffer(model.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
-def test_digest_of_ids():
-    assert hashlib.sha256(bpe._packed([1, 258])).hexdigest() == hashlib.sha256(b"\x01\0\0\0\x02\x01\0\0").hexdigest()
+def test_ids_are_little_endian(library):
+    model = bpe.Model(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    ids = library.encode("the banana", add_special_tokens=False).ids
+    assert model.encode(["the banana"])[0] == b"".join(i.to_bytes(4, "little") for i in ids) and model.decode([None, b""]).to_pylist() == ["", ""]

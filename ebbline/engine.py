@@ -10,6 +10,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions.codec import Layout, TierKind
@@ -72,11 +73,12 @@ class Engine:
         return self.store.seam(self.store.table(name))
 
     def read(self, name: str, where: str | None = None) -> DataFrame:
-        """The table as of now. where: a condition; a side of the cut-line it rules out isn't planned."""
+        """The table as of now. where: a condition; files and a side of the cut-line that it rules out aren't planned."""
         table = self.store.table(name)
         if where is None:
             return self.store.seam(table).view()
-        return self.store.seam(table).view(dml.side_of(self.store, table, where)).filter(where)
+        seam, side = dml.seam_for(self.store, table, where)
+        return seam.view(side).filter(where)
 
     @contextlib.contextmanager
     def pinned(self, name: str, ttl: float = 900.0) -> Iterator[Seam]:
@@ -84,7 +86,7 @@ class Engine:
         table = self.store.table(name)
         pin, line = self.store.catalog.pin(table.id, ttl)
         try:
-            yield Seam(self.spark, self.store.catalog, table, line)
+            yield Seam(self.spark, self.store.catalog, table, line, pin=pin)
         finally:
             self.store.catalog.unpin(pin)
 
@@ -100,15 +102,19 @@ class Engine:
     def token(self, seam: Seam) -> str:
         """A pinned read as text, for another driver on the same catalog. It holds as long as its pin."""
         line = seam.line
-        return base64.urlsafe_b64encode(json.dumps([seam.table.name, line.t, line.s, line.hot, line.delta]).encode()).decode()
+        if seam.pin is None:
+            raise RoutingError("only a pinned read has a token")
+        return base64.urlsafe_b64encode(json.dumps([seam.table.name, line.t, line.s, line.hot, line.delta, seam.pin]).encode()).decode()
 
     def from_token(self, token: str) -> Seam:
         try:
-            name, t, s, hot, delta = json.loads(base64.urlsafe_b64decode(token.encode()))
+            name, t, s, hot, delta, pin = json.loads(base64.urlsafe_b64decode(token.encode()))
         except ValueError as e:
             raise RoutingError("not a token of a pinned read") from e
+        if not self.store.catalog.pin_lives(pin):
+            raise RoutingError("the token's read has ended: its files may be gone")
         table = self.store.table(name)
-        return Seam(self.spark, self.store.catalog, table, replace(self.store.catalog.line(table.id), t=t, s=s, hot=hot, delta=delta))
+        return Seam(self.spark, self.store.catalog, table, replace(self.store.catalog.line(table.id), t=t, s=s, hot=hot, delta=delta), pin=pin)
 
     # Writes
 
@@ -148,12 +154,32 @@ class Engine:
     def delete(self, name: str, keys: DataFrame) -> dict[str, int]:
         return dml.delete(self.store, name, keys)
 
-    def update(self, name: str, assign: Mapping[str, str], where: str | None = None) -> tuple[dict[str, int], DataFrame]:
+    def update(self, name: str, assign: Mapping[str, object], where: dml.Condition = None) -> tuple[dict[str, int], DataFrame]:
         return dml.update(self.store, name, assign, where)
 
-    def delete_where(self, name: str, where: str | None = None) -> tuple[dict[str, int], DataFrame]:
+    def delete_where(self, name: str, where: dml.Condition = None) -> tuple[dict[str, int], DataFrame]:
         return dml.delete_where(self.store, name, where)
 
+    def delete_keys(self, name: str, keys: list) -> dict[str, int]:
+        """Delete rows by keys as JSON has them: a scalar, or an object with a field for each column of the primary key."""
+        table = self.store.table(name)
+        wanted = []
+        for k in keys:
+            key = k if isinstance(k, Mapping) else {table.pk[0]: k}
+            if set(key) != set(table.pk) or any(isinstance(v, Mapping | list) or v is None for v in key.values()):
+                raise RoutingError(f"{name}: {k!r} isn't a key of {', '.join(table.pk)}")
+            wanted.append(tuple(str(key[c]) for c in table.pk))
+        if not wanted:
+            return {"hot": 0, "delta": 0, "lake": 0}
+        rows = self.spark.createDataFrame(wanted, T.StructType([T.StructField(c, T.StringType()) for c in table.pk]))
+        rows = rows.select(*[F.col(f"`{c}`").cast(table.schema[c].dataType).alias(c) for c in table.pk])
+        return dml.delete(self.store, name, self.read(name).join(F.broadcast(rows), table.pk, "left_semi").select(*dict.fromkeys([*table.pk, table.tier_key])))
+
+    def holds(self, name: str, low: object, high: object) -> bool:
+        """Whether the lake may hold a row with a tier key in [low, high), by its manifests alone."""
+        kind = self.store.table(name).kind
+        return maintain.holds(self.store, name, kind.parse(low), kind.parse(high))
+
     def copy_from(self, name: str, path: str, **options) -> dict[str, int]:
         return load.copy_from(self.store, name, path, **options)
 
@@ -183,8 +209,12 @@ class Engine:
     def retain(self, name: str) -> int | None:
         return lifecycle.retain(self.store, name)
 
-    def retain_heap(self, name: str, frontier_seen: bool = True) -> int | None:
-        return lifecycle.retain_heap(self.store, name, frontier_seen)
+    def retain_heap(self, name: str, head: int | None = None, frontier_seen: bool = False) -> int | None:
+        return lifecycle.retain_heap(self.store, name, head, frontier_seen)
+
+    def advance_frontier(self, name: str, position: int) -> None:
+        """The feed has reached a position without changes for the table."""
+        self.store.catalog.advance(self.store.table(name).id, f=position)
 
     def premake(self, name: str, headroom: int = 2) -> tuple[int, bool]:
         return lifecycle.premake(self.store, name, headroom)
@@ -250,21 +280,20 @@ class Engine:
         if s.kind == "select":
             self._views(s.tables)
             return self.spark.sql(text)
+        self._views(s.tables[1:])
         if s.kind == "update":
             return self.update(s.tables[0], s.assign, s.where)[1]
         if s.kind == "delete":
             return self.delete_where(s.tables[0], s.where)[1]
-        rows = self._query(s.query)
-        table = self.store.table(s.tables[0])
-        rows = rows.toDF(*table.columns[: len(rows.columns)])
+        rows, table = plans.run(self.spark, s.query), self.store.table(s.tables[0])
+        if not s.by_name:
+            columns = s.columns or table.columns[: len(rows.columns)]
+            if len(columns) != len(rows.columns):
+                raise RoutingError(f"{len(rows.columns)} values for {len(columns)} columns")
+            rows = rows.toDF(*columns)
         self.insert(s.tables[0], rows)
         return rows
 
-    def _query(self, query: str) -> DataFrame:
-        inner = plans.parse(self.spark, query)
-        self._views(inner.tables)
-        return self.spark.sql(query)
-
     def _views(self, tables: list[str]) -> None:
         known = set(self.store.catalog.names())
         for name in tables:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbline.operators.dml import _lake_places, check_retention, corrections, insert, lake_merge
+from ebbline.operators.dml import _lake_places, check_retention, corrections, insert, lake_merge, retried
 from ebbline.operators.store import RoutingError, Store
 from ebbline.plans.modes import Kind
-from ebbline.sources.catalog import FileEntry
+from ebbline.sources.catalog import CatalogError, Conflict, FileEntry
 from ebbline.sources.files import PK, TIER, read_files, stored_schema
 
 
@@ -54,6 +54,7 @@ def ingest(store: Store, name: str, rows: DataFrame | list[str]) -> dict[str, in
         return _ingest(store, table, valid)
 
 
+@retried
 def _ingest(store: Store, table: Table, rows: DataFrame) -> dict[str, int]:
     line = store.catalog.line(table.id)
     _window(rows, line.r, line.t, table.name)
@@ -85,8 +86,10 @@ def load(store: Store, name: str, label: str, rows: DataFrame, spool_above: int
     return out or load(store, name, label, rows, spool_above)  # another load took the label meanwhile
 
 
+@retried
 def _load(store: Store, table: Table, label: str, rows: DataFrame, spool_above: int) -> dict | None:
     t = store.catalog.line(table.id).t
+    files: tuple[list[FileEntry], list[FileEntry]] = ([], [])
     if table.mode.hot_complete:
         hot, cold, n_cold = rows, rows.limit(0), 0
     else:
@@ -104,14 +107,20 @@ def _load(store: Store, table: Table, label: str, rows: DataFrame, spool_above:
         delta = store.stage_delta(table, corrections(cold, 0))
     into_hot = rows if table.mode.keep_heap else hot
     files = store.rewrite_hot(table, into_hot, into_hot) if n_hot or table.mode.keep_heap and n_cold else ([], [])
-    with store.catalog.transaction():
-        if not store.catalog.claim_label(table.id, label, n_hot, n_cold, "staged" if staged else "done", [asdict(f) for f in staged]):
-            store.discard([*staged, *delta, *files[0]])
-            return None
-        if files[0] or files[1]:
-            store.catalog.publish(table.id, "hot", *files)
-        if delta:
-            store.catalog.publish(table.id, "delta", delta)
+    try:
+        with store.catalog.transaction():
+            if store.catalog.line(table.id).t != t:
+                raise Conflict(f"{table.name}: the cut-line moved")
+            if not store.catalog.claim_label(table.id, label, n_hot, n_cold, "staged" if staged else "done", [asdict(f) for f in staged]):
+                store.discard([*staged, *delta, *files[0]])
+                return None
+            if files[0] or files[1]:
+                store.catalog.publish(table.id, "hot", *files)
+            if delta:
+                store.catalog.publish(table.id, "delta", delta)
+    except CatalogError:
+        store.discard([*staged, *delta, *files[0]])
+        raise
     return {"label": label, "replayed": False, "hot": n_hot, "cold": n_cold}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, fields, replace
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbline.operators.store import Store
 from ebbline.plans.modes import Kind
+from ebbline.plans.seam import Keys
 from ebbline.sources.catalog import SETS
 from ebbline.sources.files import BUCKET, PK, SEQ, TIER, apply_deletes, list_files, read_files, remove_files, stage, stored_schema
 
@@ -124,8 +126,12 @@ def verify(store: Store, name: str) -> dict:
         listed = sum(f.rows for f in files)
         got = checksum(lake).first()
         twice = lake.groupBy(PK).count().filter("count > 1").count()
-        hot_below = seam.hot().filter(F.col(TIER) < line.t).join(lake.select(PK), PK, "left_anti").count() if files else 0
-        return {"ok": not twice and (deletes or got.n == listed), "rows": got.n, "listed": listed, "repeated": twice, "untiered": hot_below}
+        # Hot files that the last tiering didn't know must hold nothing below the cut-line but what the lake has too.
+        known = max((json.loads(o["details"]).get("hot", -1) for o in store.catalog.rows("SELECT details FROM ops WHERE table_id = ? AND kind = 'tier' AND phase = 'done'", table.id)), default=-1)
+        late = [f for f in store.catalog.files(table.id, "hot") if f.added > known and f.low is not None and f.low < line.t]
+        stranded = read_files(store.spark, late, stored_schema(table.schema)).filter(F.col(TIER) < line.t).select(PK)
+        stranded = stranded.join(lake.select(PK), PK, "left_anti").join(seam.corrections().select(PK), PK, "left_anti").count() if late else 0
+        return {"ok": not twice and not stranded and (deletes or got.n == listed), "rows": got.n, "listed": listed, "repeated": twice, "untiered": stranded}
     left, right = (checksum(x).first().asDict() for x in (a, b))
     return {"ok": left == right, "hot": left, "lake": right}
 
@@ -156,7 +162,12 @@ def status(store: Store) -> DataFrame:
     return store.spark.createDataFrame(rows, schema)
 
 
-def lake_rows(store: Store, name: str) -> DataFrame:
-    """The lake's stored rows as its manifests list them, deletes not applied."""
+def state_totals(store: Store) -> DataFrame:
+    """How many partitions of all tables are in each state: the status's maps, expanded and summed up."""
+    return status(store).select(F.explode("partitions").alias("state", "n")).groupBy("state").agg(F.sum("n").alias("n"))
+
+
+def holds(store: Store, name: str, low: int, high: int) -> bool:
+    """Whether the lake may hold a row with a tier key in [low, high): from the manifests, without a job."""
     table = store.table(name)
-    return read_files(store.spark, [f for f in store.catalog.files(table.id, "lake") if f.kind == "data"], stored_schema(table.schema))
+    return any(f.kind == "data" and Keys(low, high).meets(f) for f in store.catalog.files(table.id, "lake"))

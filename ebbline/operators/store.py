@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ebbline.functions.codec import Layout, floor_to, pk_text
 from ebbline.plans.modes import Mode
 from ebbline.plans.seam import Keys, Seam, Table
-from ebbline.sources.catalog import Catalog, CatalogError, FileEntry, Line
+from ebbline.sources.catalog import Catalog, CatalogError, Conflict, FileEntry, Line
 from ebbline.sources.files import BUCKET, PK, SEQ, TIER, remove_files, stage
 
 
@@ -106,7 +106,7 @@ class Store:
         try:
             with self.catalog.transaction():
                 if self.catalog.line(table.id).s != seq - 1:
-                    raise CatalogError(f"another commit took snapshot {seq}")
+                    raise Conflict(f"another commit took snapshot {seq}")
                 self.catalog.publish(table.id, "lake", add, remove, props)
                 if advance:
                     self.catalog.advance(table.id, **advance)
@@ -119,7 +119,10 @@ class Store:
         remove_files(self.spark, [f.path for f in files])
 
     def affected(self, table: Table, keys: DataFrame) -> list[FileEntry]:
-        """Hot files that hold any of the keys (a DataFrame with PK). Only key columns are read."""
+        """Hot files that hold any of the keys (a DataFrame with PK). Only key columns are read.
+
+        Keys may be at any tier key, as an upsert may move a row.
+        """
         files = self.catalog.files(table.id, "hot")
         if not files:
             return []

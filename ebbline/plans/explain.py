@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ebbline.operators.store import RoutingError
 
@@ -13,9 +13,12 @@ from ebbline.operators.store import RoutingError
 class Statement:
     kind: str  # select, update, delete, insert
     tables: list[str] = field(default_factory=list)
-    where: str | None = None
-    assign: dict[str, str] = field(default_factory=dict)
-    query: str | None = None
+    #: Expressions as columns, with the trees that Spark's parser made of them.
+    where: tuple[Column, object] | None = None
+    assign: dict[str, tuple[Column, object]] = field(default_factory=dict)
+    query: object = None  # a parsed plan
+    columns: list[str] | None = None  # an insert's column list
+    by_name: bool = False
 
 
 def _seq(x) -> list:
@@ -51,7 +54,40 @@ def _in_expression(e, out: list[str]) -> None:
         _in_expression(c, out)
 
 
+def _column(spark: SparkSession, expression) -> tuple[Column, object]:
+    from pyspark.sql.classic.column import Column as Classic
+
+    return Classic(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression)), expression
+
+
+def run(spark: SparkSession, plan) -> DataFrame:
+    """The rows of a parsed plan."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    return Classic(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def _insert(spark: SparkSession, plan) -> Statement | None:
+    """An INSERT, also one behind common table expressions, which then belong to its query."""
+    into = plan.children().head() if plan.nodeName() == "UnresolvedWith" else plan
+    if into.nodeName() != "InsertIntoStatement":
+        return None
+    if into.overwrite() or into.partitionSpec().size():
+        raise RoutingError("INSERT OVERWRITE and PARTITION aren't supported: a routed insert only adds rows")
+    query = into.query()
+    if plan is not into:
+        query = plan.withNewChildren(spark._jvm.org.apache.spark.api.python.PythonUtils.toSeq([query]))
+    return Statement("insert", [_name(into.table())], query=query, columns=_seq(into.userSpecifiedCols()) or None, by_name=into.byName())
+
+
+def _read_by(statement: Statement, expressions: list) -> Statement:
+    for e in expressions:
+        _in_expression(e, statement.tables)
+    return statement
+
+
 def parse(spark: SparkSession, sql: str) -> Statement:
+    """tables: the written table first, then those that are read."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     kind = plan.nodeName()
     if kind == "UpdateTable":
@@ -60,17 +96,17 @@ def parse(spark: SparkSession, sql: str) -> Statement:
             parts = _seq(a.key().nameParts())
             if len(parts) > 1:
                 raise RoutingError("only whole columns can be set")
-            assign[parts[0]] = a.value().sql()
-        where = plan.condition()
-        return Statement("update", [_name(plan.table())], where.get().sql() if where.isDefined() else None, assign)
+            assign[parts[0]] = _column(spark, a.value())
+        where = _column(spark, plan.condition().get()) if plan.condition().isDefined() else None
+        return _read_by(Statement("update", [_name(plan.table())], where, assign), [x[1] for x in (*assign.values(), where) if x])
     if kind == "DeleteFromTable":
-        where = plan.condition().sql()
-        return Statement("delete", [_name(plan.table())], None if where.lower() == "true" else where)
-    if kind in ("InsertIntoStatement", "UnresolvedWith") and sql.strip().lower().startswith("insert"):
-        at = sql.lower().find("select")
-        values = sql.lower().find("values")
-        cut = min(x for x in (at, values) if x >= 0)
-        return Statement("insert", [_name(plan.table())], query=sql[cut:])
-    if kind in ("MergeIntoTable", "InsertIntoStatement"):
+        where = plan.condition()
+        if where.nodeName() == "Literal":
+            return Statement("delete", [_name(plan.table())], None if str(where.value()) == "true" else _column(spark, where))
+        return _read_by(Statement("delete", [_name(plan.table())], _column(spark, where)), [where])
+    if insert := _insert(spark, plan):
+        insert.tables += _relations(insert.query, [])
+        return insert
+    if kind == "MergeIntoTable":
         raise RoutingError(f"{kind} isn't supported")
-    return Statement("select", list(dict.fromkeys(_relations(plan, []))), query=sql)
+    return Statement("select", list(dict.fromkeys(_relations(plan, []))), query=plan)

@@ -9,7 +9,6 @@ sides of the cut-line that a predicate rules out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,10 +59,14 @@ class Keys:
 
 
 class Seam:
-    """Reads of one table as of one line."""
+    """Reads of one table as of one line.
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, table: Table, line: Line, keys: Keys = Keys()):
-        self.spark, self.catalog, self.table, self.line, self.keys = spark, catalog, table, line, keys
+    keys: tier keys that are wanted; hot and lake files outside of them aren't read, rows outside may still come.
+    pin: what keeps the line's files, if anything does.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: Catalog, table: Table, line: Line, keys: Keys = Keys(), pin: str | None = None):
+        self.spark, self.catalog, self.table, self.line, self.keys, self.pin = spark, catalog, table, line, keys, pin
 
     def _files(self, part: str, version: int, keys: Keys) -> list[FileEntry]:
         return [f for f in self.catalog.files(self.table.id, part, version) if keys.meets(f)]
@@ -143,7 +146,3 @@ def newest(log: DataFrame) -> DataFrame:
     rows = log.groupBy(F.col(PK).alias("__key")).agg(F.max_by(F.struct(*log.columns), "__version").alias("__row"), F.min_by(place, "__version").alias("__place"))
     out = rows.select("__row.*", "__place")
     return out.withColumn("__old_tier", F.when(F.col("__place") != F.col(TIER), F.col("__place"))).drop("__place")
-
-
-def prune(files: Sequence[FileEntry], keys: Keys) -> list[FileEntry]:
-    return [f for f in files if keys.meets(f)]

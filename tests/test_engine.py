@@ -276,6 +276,10 @@ def test_mirror_heap_retention(spark, engine, tmp_path):
     e.insert("m", rows(spark, *data))
     feed(spark, e, "m", str(tmp_path / "f"), *[(i, 1, "I", d, None) for i, d in enumerate(data)])
     e.mirror("m", str(tmp_path / "f"), str(tmp_path / "o")).awaitTermination()
+    assert e.retain_heap("m") is None  # nothing proves that the feed has been applied
+    head = e.store.catalog.line(e.store.table("m").id).f + 5
+    assert e.retain_heap("m", head) is None and e.retain_heap("m", head) is None
+    e.advance_frontier("m", head)
     assert e.retain_heap("m") == 100
     assert text(e.read("m")) == ["1|10|a", "2|120|b", "3|250|c"] and e.seam("m").hot().count() == 2
     e.update("m", {"val": "'A'"}, "id = 1")

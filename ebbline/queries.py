@@ -170,16 +170,6 @@ def newest_per_key(spark, sf_dir):
     return out.select(F.col(PK).alias("pk"), F.col("__version").alias("version"), "v", F.coalesce("__old_tier", TIER).alias("place"))
 
 
-@_query("SELECT event_id + 10000000 AS event_id, value FROM events WHERE event_id % 500 = 0")
-def delta_only_cold(spark, sf_dir):
-    """A table whose lake has no snapshot yet: below the cut-line there are only corrections."""
-    e, name = engine(spark, sf_dir), f"q{next(_SERIAL)}"
-    events = _read(spark, sf_dir, "events")
-    e.register(name, events.schema, ["event_id"], "ts", cut="2030-01-01")
-    e.insert(name, events.filter("event_id % 500 = 0").withColumn("event_id", F.col("event_id") + 10_000_000))
-    return e.read(name).select("event_id", "value")
-
-
 @_query("SELECT event_id + 10000000 AS event_id, value FROM events")
 def delta_only_cold_whole(spark, sf_dir):
     """All events below the cut-line of a table whose lake has no snapshot yet."""
@@ -263,12 +253,6 @@ def seam_set_operations(spark, sf_dir):
     return s.hot(s.line.t).select("user_id").intersect(s.cold().select("user_id")).subtract(done)
 
 
-@_query("WITH {seam} SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM seam WHERE event_id % 250 = 0 GROUP BY event_type")
-def seam_string_agg(spark, sf_dir):
-    rows = engine(spark, sf_dir).read("events").filter("event_id % 250 = 0")
-    return rows.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
-
-
 @_query("WITH {seam} SELECT user_id, date_trunc('hour', ts) AS hour, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM seam GROUP BY ALL")
 def seam_string_agg_whole(spark, sf_dir):
     """All rows; a group is one user's hour, which doesn't grow with the table."""
@@ -334,13 +318,6 @@ def delete_cold(spark, sf_dir):
     return _state(e.read(q))
 
 
-@_query("WITH {seam} SELECT event_type, count(*) AS n FROM seam WHERE false GROUP BY event_type")
-def delete_everything(spark, sf_dir):
-    e, q = _clone(spark, sf_dir)
-    e.delete_where(q)
-    return e.read(q).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @_query("WITH {seam} SELECT event_id, value * 10 AS value FROM seam WHERE event_id % 77 = 0")
 def returning_update(spark, sf_dir):
     e, q = _clone(spark, sf_dir)
@@ -353,21 +330,6 @@ def returning_delete(spark, sf_dir):
     return e.delete_where(q, "event_id % 77 = 0")[1].select("event_id", "ts", "value")
 
 
-@_query("WITH {seam} SELECT 'hot' AS side, count(*) FILTER (WHERE ts >= TIMESTAMP '{cut}') AS n FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'delta', count(*) FILTER (WHERE ts < TIMESTAMP '{cut}') FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'lake', 0")
-def route_counts(spark, sf_dir):
-    e, q = _clone(spark, sf_dir)
-    out = e.insert(q, _read(spark, sf_dir, "events").filter("event_id % 3 = 0").withColumn("event_id", F.col("event_id") + 50_000_000))
-    return spark.createDataFrame(list(out.items()), "side string, n long")
-
-
-@_query("WITH {seam} SELECT event_id, ts, event_type, value FROM seam UNION ALL SELECT event_id + 70000000, ts, event_type, value FROM events WHERE event_id % 20 = 0")
-def insert_select_sql(spark, sf_dir):
-    e, q = _clone(spark, sf_dir)
-    _read(spark, sf_dir, "events").createOrReplaceTempView("ebbline_raw_events")
-    e.sql(f"INSERT INTO {q} SELECT event_id + 70000000, ts, user_id, event_type, value, props FROM ebbline_raw_events WHERE event_id % 20 = 0")
-    return _state(e.read(q))
-
-
 @_query("SELECT 'hot' AS side, count(*) FILTER (WHERE ts >= TIMESTAMP '{cut}') AS n FROM events UNION ALL SELECT 'delta', count(*) FILTER (WHERE ts < TIMESTAMP '{cut}') FROM events UNION ALL SELECT 'lake', 0")
 def route_counts_whole(spark, sf_dir):
     e, q = _clone(spark, sf_dir)
@@ -399,7 +361,7 @@ def upsert_hot(spark, sf_dir):
 # Ageing
 
 
-@_query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN d < 20 THEN 'dropped' ELSE 'hot' END AS state FROM range(30) r(d)) GROUP BY state")
+@_query("WITH d AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS lo) SELECT CASE WHEN lo + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 9 DAY FROM events) THEN 'dropped' ELSE 'hot' END AS state, count(*) AS n FROM d GROUP BY 1")
 def partition_states(spark, sf_dir):
     e, q = _tiered(spark, sf_dir)
     got = [(p.state,) for p in e.store.catalog.partitions(e.store.table(q).id)]
@@ -470,11 +432,11 @@ def ingest_upsert(spark, sf_dir):
     return e.read(q).select("event_id", "value")
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 7.0 ELSE value END AS value FROM events")
+@_query("SELECT event_id, 7.0 AS value FROM events")
 def stream_load_replay(spark, sf_dir):
     """A labelled load: hot rows at once, many cold ones staged and adopted, replays without effect."""
     e, q = _clone(spark, sf_dir, "events_plain")
-    rows = _read(spark, sf_dir, "events").filter("event_id % 5 = 1")
+    rows = _read(spark, sf_dir, "events")
     for value in (7.0, 8.0):
         e.load(q, "a", rows.withColumn("value", F.lit(value)), spool_above=100)
     e.adopt_loads(q)
@@ -572,6 +534,8 @@ def pinned_read_is_stable(spark, sf_dir):
     with e.pinned(q) as seam:
         e.update(q, {"value": "0.0"}, "event_id % 2 = 0")
         e.delete_where(q, "event_id % 3 = 0")
-        e.compact(q)
-        return seam.view().select("event_id", "value")
+        path = f"{_root(spark)}/kept"
+        seam.view().select("event_id", "value").write.parquet(path)  # while the pin lives
+    assert e.compact(q)
+    return spark.read.parquet(path)
 

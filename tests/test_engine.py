@@ -398,3 +398,105 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("run", "--cycles", "1") == 0 and run("status") == 0 and run("explain", "SELECT * FROM t") == 0
     assert run("sql", "SELECT count(*) AS n FROM t") == 0 and "|1  |" in capsys.readouterr().out
     assert run("unregister", "t") == 0
+
+
+LATE = [(91, 15, "late"), (92, 205, "new")]
+
+
+@pytest.mark.parametrize("mode", ["tiered", "tiered+keep_heap", "direct", "direct+keep_heap"])
+@pytest.mark.parametrize("order", ["insert first", "tiering first"])
+def test_writes_and_tiering_at_once(spark, engine, mode, order):
+    """A row that comes while partitions are tiered is on one side of the line afterwards, whoever commits first."""
+    e, other = engine, Engine(spark, engine.store.root, engine.store.catalog.path)
+    e.register("c", "id long, k long, v string", ["id"], "k", mode, width=100, lag=50, cut=0)
+    e.add_partitions("c", [(0, 100), (100, 200), (200, 300)])
+    e.insert("c", spark.createDataFrame([(1, 10, "a"), (2, 160, "b"), (3, 250, "c")], "id long, k long, v string"))
+    rows = spark.createDataFrame(LATE, "id long, k long, v string")
+    done = []
+    name = "stage_lake" if order == "insert first" else "stage_hot"
+    stage = getattr(e.store, name)
+
+    def slow(*args):
+        out = stage(*args)
+        if not done:
+            done.append(1)
+            other.insert("c", rows) if order == "insert first" else other.tier("c")
+        return out
+
+    setattr(e.store, name, slow)
+    e.tier("c") if order == "insert first" else e.insert("c", rows)
+    assert done and sorted(tuple(r) for r in e.read("c").collect()) == [(1, 10, "a"), (2, 160, "b"), (3, 250, "c"), (91, 15, "late"), (92, 205, "new")]
+    assert e.store.catalog.line(e.store.table("c").id).t == 200 and e.verify("c")["ok"]
+
+
+def test_verify_sees_stranded_rows(spark, engine):
+    e = engine
+    e.register("c", "id long, k long", ["id"], "k", width=100, lag=50, cut=0)
+    e.add_partitions("c", [(0, 100), (100, 200), (200, 300)])
+    e.insert("c", spark.createDataFrame([(1, 10), (3, 250)], "id long, k long"))
+    e.tier("c")
+    assert e.verify("c")["ok"]
+    table = e.store.table("c")
+    lost = e.store.stage_hot(table, e.store.prepared(table, spark.createDataFrame([(9, 20)], "id long, k long")))
+    e.store.catalog.publish(table.id, "hot", lost)  # as no write would
+    assert e.verify("c")["untiered"] == 1 and not e.verify("c")["ok"]
+
+
+def test_sql_writes_by_their_plans(spark, engine):
+    e = engine
+    e.register("c", "id long, k long, v string, w string", ["id"], "k", width=100, lag=50, cut=200)
+    e.sql("INSERT INTO c (id, k, w, v) VALUES (2, 201, 'W', 'V')")
+    e.sql("WITH x AS (SELECT 3 AS id, 10 AS k) INSERT INTO c (k, id) SELECT k, id FROM x")
+    e.sql("INSERT INTO c BY NAME SELECT 'w4' AS w, 4 AS id, 250 AS k")
+    rows = lambda: sorted(tuple(r) for r in e.read("c").collect())
+    assert rows() == [(2, 201, "V", "W"), (3, 10, None, None), (4, 250, None, "w4")]
+    spark.createDataFrame([(3,), (4,)], "x long").createOrReplaceTempView("ids")
+    got = e.sql("UPDATE c SET v = (SELECT max(w) FROM c) WHERE id IN (SELECT x FROM ids) AND EXISTS (SELECT 1 FROM ids)").collect()
+    assert sorted((r.id, r.v) for r in got) == [(3, "w4"), (4, "w4")]
+    e.sql("DELETE FROM c WHERE id = (SELECT min(x) FROM ids)")
+    assert rows() == [(2, 201, "V", "W"), (4, 250, "w4", "w4")]
+    for bad in ("INSERT OVERWRITE c SELECT 1, 1, 'a', 'b'", "INSERT INTO c (id, k) VALUES (1, 2, 'x')", "INSERT INTO c (id, nothing) VALUES (1, 2)", "MERGE INTO c USING ids ON c.id = ids.x WHEN MATCHED THEN DELETE"):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            e.sql(bad)
+    assert len(rows()) == 2
+    e.delete_keys("c", [2, {"id": 4}])
+    assert rows() == []
+    with pytest.raises(RoutingError):
+        e.delete_keys("c", [{"k": 4}])
+
+
+def test_upserts_to_another_place_fold_to_one_row(spark, engine):
+    e = engine
+    e.register("c", "id long, k long", ["id"], "k", layout=100, cut=1000)
+    e.ingest("c", spark.createDataFrame([(5, 5), (6, 6)], "id long, k long"))
+    e.upsert("c", spark.createDataFrame([(5, 500)], "id long, k long"))
+    want = [(5, 500), (6, 6)]
+    assert sorted(map(tuple, e.read("c").collect())) == want
+    while e.compact("c"):
+        pass
+    assert sorted(map(tuple, e.read("c").collect())) == want
+
+
+def test_files_outside_of_a_condition_are_not_read(spark, engine):
+    e = engine
+    e.register("c", "id long, k long", ["id"], "k", layout=10, cut=1000)
+    e.ingest("c", spark.range(1000).selectExpr("id", "id AS k"))
+    assert len(e.read("c").inputFiles()) == 100
+    assert len(e.read("c", "k < 10").inputFiles()) == 1 and e.read("c", "k < 10").count() == 10
+    for where, files, n in (("k BETWEEN 20 AND 29", 1, 10), ("k IN (5, 995)", 100, 2), ("k = 5 OR k = 17", 2, 2), ("k >= 990 AND id < 995", 1, 5), ("id = 5", 100, 1)):
+        got = e.read("c", where)
+        assert (len(got.inputFiles()), got.count()) == (files, n), where
+    assert e.holds("c", 0, 5) and not e.holds("c", 1000, 1010)
+
+
+def test_tokens_end_with_their_pin(spark, engine):
+    e = engine
+    e.register("c", "id long, k long", ["id"], "k", cut=0)
+    e.insert("c", spark.createDataFrame([(1, 1)], "id long, k long"))
+    with e.pinned("c") as seam:
+        token = e.token(seam)
+        assert e.from_token(token).view().count() == 1
+    with pytest.raises(RoutingError):
+        e.from_token(token)
+    with pytest.raises(RoutingError):
+        e.token(e.seam("c"))

@@ -76,7 +76,8 @@ def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
     """The buckets of sorted keys (buckets: a power of two, by the leading bits) and where each one's keys are."""
     bucket = (keys >> U64(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(keys.size, np.int64)
     starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return bucket[starts], [slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), keys.size], strict=True)]
+    ends = np.append(starts[1:], keys.size)[: starts.size]  # no keys: no buckets
+    return bucket[starts], [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

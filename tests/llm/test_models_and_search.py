@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,8 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ebbline.llm._text import NOT_ALNUM, Words
 from ebbline.llm.quality import features, fit_quality, fit_ranking, score_quality
-from ebbline.llm.toxicity import BLOCK, chains, fit_toxicity, forward_backward, score_toxicity
+from ebbline.llm.toxicity import BLOCK, chains, document_features, fit_toxicity, forward_backward, score_toxicity
 from ebbline.llm.vector_search import max_score, top_k
 
 
@@ -145,3 +147,40 @@ def test_max_score_skips_and_stays_exact():
         best = sorted(range(6000), key=lambda i: (-scores[i], ids[i]))
         best = [i for i in best if ids[i] != 9][:7]
         assert got[0].tolist() == [ids[i] for i in best] and got[1].tolist() == [scores[i] for i in best]
+
+
+def test_scores_of_repeated_and_odd_rows(spark):
+    """Rows of one text share a score; clashing columns are replaced; scores are those of the model by itself."""
+    bad, good = "BUY!!! $$$ now *** " * 9, "A calm sentence about rivers, written with care. " * 9
+    rows = [(i, bad if i % 2 else good) for i in range(40)] + [(1, bad), (1, bad), (50, None), (51, ""), (None, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = fit_quality(docs, labels, at=0.7)
+    got = score_quality(docs.withColumn("score", F.lit("x")), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(float(model.score(features(pa.array([r.text], pa.string())))[0]), abs=1e-12)
+        assert r.text in (None, "") or (r.score >= 0.7) == (r.text == good)
+    field = fit_toxicity(docs, labels)
+    clash = docs.withColumn("score", F.lit("x")).withColumn("toxic_words", F.lit("y")).withColumn("toxic_spans", F.lit("z"))
+    got = score_toxicity(clash, field).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 1}) == 1
+    for r in got:
+        words = Words(pa.array([r.text], pa.string()), NOT_ALNUM, lower=True)
+        p = field.marginals(words)
+        assert r.score == pytest.approx(float(field.score(document_features(p, words.first))[0]), abs=1e-9) and r.toxic_words == int((p > 0.5).sum())
+
+
+def test_scores_beyond_a_double_are_exact(spark):
+    big = [3.0e6, 1.0, -7.0e5]
+    rows = [(i, [x * (1 + i / 1024) for x in big]) for i in range(6)] + [(100, big), (100, big), (20, [0.5, 0.25, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in top_k(df, df.filter("vec_id % 20 = 0"), scale=2.0**9).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [(i, [math.floor(x * 512) for x in v]) for i, v in rows]
+    for q, have in got.items():
+        mine = min(v for i, v in whole if i == q)
+        want = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in whole if i != q)[:5]
+        assert have == [(i, -s) for s, i in want]
+    assert set(got) == {0, 20, 100} and max(s for _, s in got[100]) > 1 << 53

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -273,3 +274,21 @@ def test_kept_digest(spark, tmp_path):
     frame(spark, [(1, None), (2, "a  b")]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.kept_sha256 for r in op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"").hexdigest(), 2: hashlib.sha256(b"a b").hexdigest()}
+
+
+def test_shards_are_the_winners_of_plain_rendezvous_hashing(spark):
+    """The shard recomputed in plain Python; very long texts beside; equal rows keep slots of their own."""
+    rows = [(i, f"text {i}") for i in range(400)] + [(7, "text 7"), (None, None), (1000, "long " * 200_000)]
+    weights = [1.0, 2.0, 1.0, 0.5, 1.0]
+
+    def winner(key, ws):
+        u = lambda i: (int(hashlib.md5(f"{key}#{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        return min(range(len(ws)), key=lambda i: (-math.log(u(i)) / ws[i], i))
+
+    got = rendezvous_shards(frame(spark, rows), ["doc_id"], weights).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        key = "null" if r.doc_id is None else f"={r.doc_id}"
+        assert r.shard == winner(key, weights) and r.grown_shard == winner(key, [*weights, weights[-1]])
+    for s in range(len(weights)):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))

@@ -130,13 +130,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array([k for x in found for k in x], pa.string())], ["__id", "__key"])
 
-    def with_suspects(has: bool):
-        def split(batches):
-            for batch in batches:
-                mask = pa.array([bool(x) == has for x in suspects_of(batch.column(text_at))])
-                yield batch.filter(mask)
-
-        return docs.mapInArrow(split, docs.schema)
+    def with_suspects(batches, has: bool = True):
+        for batch in batches:
+            mask = pa.array([bool(x) == has for x in suspects_of(batch.column(text_at))], pa.bool_())
+            yield batch.filter(mask)
 
     def rewrite(batches):
         for batch in batches:
@@ -162,7 +159,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = cut(suspects.groupBy("__key").agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__last")).filter(F.col("__n") >= min_docs))
     drops = suspects.join(repeated, "__key").filter("__id <> __last").groupBy("__id").agg(F.collect_set("__key").alias("__drop"))
     out = f"{fields}, n_lines long, n_dropped long"
-    clean = with_suspects(False).mapInArrow(rewrite, out)
-    dirty = with_suspects(True)
+    clean = docs.mapInArrow(lambda batches: rewrite(with_suspects(batches, False)), out)  # both steps in one Python process
+    dirty = docs.mapInArrow(with_suspects, docs.schema)
     dirty = dirty.join(drops, dirty[id_col] == drops["__id"], "left").drop("__id").mapInArrow(rewrite, out)
     return clean.unionByName(dirty)

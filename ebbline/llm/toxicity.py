@@ -6,8 +6,9 @@ a feature that is many times as common in toxic documents as in others. The fiel
 feature, transition weights) is trained on blocks of such labelled words by its likelihood's gradient (forward-backward).
 A document's score is a logistic function of its words' marginals. Spans are runs of words more likely toxic than not.
 
-Documents are tagged whole, in chains of at most BLOCK words. Fitting uses a bounded sample of labelled rows (`sample`
-rows, BLOCKS blocks); scoring is one pass without a shuffle.
+Documents are tagged whole, in chains of at most BLOCK words, TOGETHER chains at a time: what tagging takes beside the
+words and their marginals doesn't grow with a text. Fitting uses a bounded sample of labelled rows (`sample` rows, BLOCKS
+blocks); scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,18 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labels import labelled_sample
-from ._spark import ship
+from ._spark import read_few, ship
 from ._text import NOT_ALNUM, U64, Words, mix, rows_within
 
-SAMPLE, BLOCKS, BLOCK = 20_000, 6_000, 64
+SAMPLE, BLOCKS, BLOCK, TOGETHER = 20_000, 6_000, 64, 512
+#: Texts of about so many bytes are taken at a time, one text at least.
+PIECE = 1 << 18
 BITS = 18
 _HEADS, _TAILS = (4, 5, 6, 8), (4, 6)
 N_FEATURES = 1 + len(_HEADS) + len(_TAILS)
 
 
-def token_features(words: Words) -> np.ndarray:
-    """One row of feature numbers per word."""
-    starts, ends = words.starts, words.ends
+def token_features(words: Words, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """One row of feature numbers per word, from word lo up to word hi."""
+    starts, ends = words.starts[lo:hi], words.ends[lo:hi]
     ranges = [(starts, ends), *[(starts, np.minimum(ends, starts + k)) for k in _HEADS], *[(np.maximum(starts, ends - k), ends) for k in _TAILS]]
     with np.errstate(over="ignore"):
         hashes = [mix(words.spans_hash(a, b) + U64(i)) >> U64(64 - BITS) for i, (a, b) in enumerate(ranges)]
@@ -47,8 +50,8 @@ def chains(first: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     return start, np.minimum(size, first[text + 1] - start)
 
 
-def forward_backward(odds: np.ndarray, n: np.ndarray, move: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state, and the expected number of each move (2 x 2), for chains of n words.
+def forward_backward(odds: np.ndarray, n: np.ndarray, move: np.ndarray, begin: float, moves: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Marginals of the toxic state, and the expected number of each move (2 x 2) if `moves`, for chains of n words.
 
     odds: one row a chain, the toxic state's emission weight relative to the other's. move: transition weights.
     """
@@ -72,6 +75,8 @@ def forward_backward(odds: np.ndarray, n: np.ndarray, move: np.ndarray, begin: f
         beta[0, t], beta[1, t] = b0, b1
     both = alpha * beta
     marginal = both[1] / (both[0] + both[1])
+    if not moves:  # only fitting needs them
+        return marginal.T, None
     pairs = alpha[:, None, :-1] * move[:, :, None, None] * (beta[None, :, 1:] * np.stack([np.ones_like(e[1:]), e[1:]])[None])
     valid = (np.arange(1, size)[:, None] < n)[None, None]
     pairs = pairs / pairs.sum((0, 1)) * valid
@@ -91,15 +96,15 @@ class Field:
 
     def marginals(self, words: Words) -> np.ndarray:
         """The probability of each word to be toxic."""
-        f = token_features(words)
-        emission = np.exp(np.clip(self.weights[f].sum(1), -20, 20)) if f.size else np.zeros(0)
-        start, n = chains(words.first)
-        out = np.zeros(emission.size)
-        if start.size:
-            at = start[:, None] + np.arange(BLOCK)
+        out = np.zeros(words.starts.size)
+        every_start, every_n = chains(words.first)
+        for at in range(0, every_start.size, TOGETHER):  # their words follow one another
+            start, n = every_start[at : at + TOGETHER], every_n[at : at + TOGETHER]
+            lo, hi = start[0], start[-1] + n[-1]
             inside = np.arange(BLOCK) < n[:, None]
-            at = np.where(inside, at, 0)
-            out[at[inside]] = forward_backward(np.where(inside, emission[at], 1.0), n, self.move, self.begin)[0][inside]
+            odds = np.ones(inside.shape, self.weights.dtype)
+            odds[inside] = np.exp(np.clip(self.weights[token_features(words, lo, hi)].sum(1), -20, 20))
+            out[lo:hi] = forward_backward(odds, n, self.move, self.begin, moves=False)[0][inside]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -166,13 +171,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """Learn from at most `sample` labelled rows. Without toxic rows nothing is telling and scores are the labels' share."""
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("id", "text", "label")
-    parts = rows.coalesce(8)
+    read_few(docs.sparkSession)
+    parts = labelled_sample(docs, labels, id_col, text_col, label_col, sample, parts=8).select("id", "text", "label")
 
     def count(batches):
         counts, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
-            for lo, hi in rows_within(batch.column(1)):
+            for lo, hi in rows_within(batch.column(1), PIECE):
                 words = Words(batch.column(1).slice(lo, hi - lo), NOT_ALNUM, lower=True)
                 f, label = token_features(words).astype(np.int64), np.asarray(batch.column(2).slice(lo, hi - lo))
                 keys = np.unique((words.text_of[:, None] << BITS | f).ravel())
@@ -187,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
 
     def blocks(batches):
         for batch in batches:
-            for lo, hi in rows_within(batch.column(1)):
+            for lo, hi in rows_within(batch.column(1), PIECE):
                 words = Words(batch.column(1).slice(lo, hi - lo), NOT_ALNUM, lower=True)
                 f, label = token_features(words), np.asarray(batch.column(2).slice(lo, hi - lo))
                 word_label = tells[f].any(1) & (label[words.text_of] == 1)
@@ -214,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
 
     def look(batches):
         for batch in batches:
-            for lo, hi in rows_within(batch.column(1)):
+            for lo, hi in rows_within(batch.column(1), PIECE):
                 words = Words(batch.column(1).slice(lo, hi - lo), NOT_ALNUM, lower=True)
                 x = document_features(field.marginals(words), words.first)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(2).slice(lo, hi - lo)], ["x", "y"])
@@ -226,20 +231,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", i
     return field
 
 
-def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with score double (0 to 1, higher: likelier toxic), toxic_words long and toxic_spans.
 
     toxic_spans array<struct<start:long,end:long>>: code-point offsets [start, end) of runs of words more likely toxic
     than not. Null and empty texts have no words and the score that goes with none. Columns of docs with these names
-    are replaced, all others pass through. An empty table stays empty.
+    are replaced, all others pass through, text_col only if `keep_text`: texts nobody reads needn't come back from
+    Python. An empty table stays empty.
     """
     ship(docs.sparkSession)
+    read_few(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("score", "toxic_words", "toxic_spans")])
-    names, at = docs.columns, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    names, fields = [docs.columns[i] for i in kept], [docs.schema[i] for i in kept]
 
     def run(batches):
         for batch in batches:
-            for lo, hi in rows_within(batch.column(at)):
+            for lo, hi in rows_within(batch.column(at), PIECE):
                 part = batch.slice(lo, hi - lo)
                 words = Words(part.column(at), NOT_ALNUM, lower=True)
                 p = field.marginals(words)
@@ -254,6 +263,6 @@ def score_toxicity(docs: DataFrame, field: Field, text_col: str = "text") -> Dat
                 starts, stops = points[words.starts[begins]] - own, points[words.ends[ends]] - own
                 cuts = pa.array(np.searchsorted(text[begins], np.arange(part.num_rows + 1)).astype(np.int32))
                 spans = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["start", "end"]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array(np.bincount(text[bad], minlength=part.num_rows), pa.int64()), spans], [*names, "score", "toxic_words", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], pa.array(score), pa.array(np.bincount(text[bad], minlength=part.num_rows), pa.int64()), spans], [*names, "score", "toxic_words", "toxic_spans"])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "score double, toxic_words long, toxic_spans array<struct<start:bigint,end:bigint>>"]))
+    return docs.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "score double, toxic_words long, toxic_spans array<struct<start:bigint,end:bigint>>"]))

@@ -1,14 +1,16 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ebbline.llm._labels import labelled_sample
 from ebbline.llm._text import NOT_ALNUM, Words
 from ebbline.llm.quality import features, fit_quality, fit_ranking, score_quality
-from ebbline.llm.toxicity import BLOCK, chains, document_features, fit_toxicity, forward_backward, score_toxicity
+from ebbline.llm.toxicity import BITS, BLOCK, TOGETHER, Field, chains, document_features, fit_toxicity, forward_backward, score_toxicity, token_features
 from ebbline.llm.vector_search import max_score, top_k
 
 
@@ -111,6 +113,37 @@ def test_chains_cover_every_word():
     assert sorted(i for a, b in zip(start, n, strict=True) for i in range(a, a + b)) == list(range(first[-1])) and n.max() == BLOCK
 
 
+def test_tagging_takes_little_memory_and_joins_groups_of_chains():
+    draw = np.random.default_rng(2)
+    field = Field(draw.normal(size=1 << BITS).astype(np.float32), draw.random((2, 2)) + 0.1, 0.3, np.zeros(5), np.zeros(4), np.ones(4))
+    long = " ".join(map(str, draw.integers(0, 10**5, 3 * TOGETHER * BLOCK + 17)))
+    words = Words(pa.array([None, "one two", long, "", long[:5000], "three"]), NOT_ALNUM, lower=True)
+    tracemalloc.start()
+    got = field.marginals(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * words.starts.size
+    emission = np.exp(np.clip(field.weights[token_features(words)].sum(1), -20, 20))
+    for start, n in zip(*chains(words.first), strict=True):
+        one = forward_backward(emission[None, start : start + n], np.array([n]), field.move, field.begin)[0][0]
+        assert np.allclose(got[start : start + n], one, atol=1e-6)
+
+
+def test_toxicity_reads_and_stores_few(spark, tables, tmp_path):
+    """Batches of the reader are bounded, the sample lies in few files, texts stay out of the result if nobody reads them."""
+    docs, labels, *_ = tables
+    docs.repartition(20).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 4096)
+    stored = spark.read.parquet(f"{tmp_path}/docs").repartition(20)
+    field = fit_toxicity(stored, labels)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    sample = [labelled_sample(stored, labels, "doc_id", "text", "toxic", 100, *parts) for parts in ((), (3,))]
+    assert sample[1].rdd.getNumPartitions() == 3 and sorted(sample[0].collect()) == sorted(sample[1].collect()) and sample[1].count() == 100
+    whole, bare = score_toxicity(stored, field), score_toxicity(stored, field, keep_text=False)
+    assert bare.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(bare.collect()) == sorted(whole.drop("text").collect())
+
+
 def brute_top(rows, k=5):
     good = {i: np.floor(256 * np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()}
     out = {}

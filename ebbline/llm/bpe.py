@@ -3,10 +3,12 @@ r"""BPE encoding and decoding with a public vocabulary file, by last-token state
 The BPE encoding of a text is the only segmentation whose neighbouring tokens all stand beside each other in BPE, i.e.
 for which no merge across their border comes before the merges that built them. So the encoding of a prefix is known
 from its last token and the encodings of shorter prefixes. Distinct words go into a trie; depth-first, each node gets
-the last token of its prefix from the nodes above it, once for all words that share the prefix. A trie in depth-first
-order is the sorted list of its words, each sharing its longest common prefix with the one before, and that is how it
-is walked: the stack of states above a node is all that is kept. The tokens that end at a node come from an automaton
-that runs along: its state is the longest end of the prefix that begins some token. Its states are made as they are met.
+the last token of its prefix from the nodes above it, once for all words that share the prefix, and only if a node below
+asks for it: the longest token that ends a word mostly stands, and the nodes inside it are never asked. A trie in
+depth-first order is the sorted list of its words, each sharing its longest common prefix with the one before, and that
+is how it is walked: the stack of states above a node is all that is kept. The tokens that end at a node come from an
+automaton that runs along: its state is the longest end of the prefix that begins some token. Its states are made as
+they are met.
 
 Supported files: `tokenizers` JSON files of byte-level BPE with a word-end suffix, NFC, white space and lower-case
 normalisation, and the split pattern below.
@@ -31,13 +33,17 @@ from ._spark import release, ship
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 _SPLIT = regex.compile(f"[{_SPACES}]+")
+#: Letters and then these only, no apostrophe, are two words.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: str.split() also splits at these, which aren't white space here.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks that a task remembers from run to run; beyond, only those of the last run stay. A worker keeps fewer between tasks.
+#: Chunks and their words that a task remembers from run to run; beyond, only those of the last run stay. A worker keeps fewer between tasks.
 _CACHE, _KEEP = 200_000, 20_000
-#: Pairs of neighbours and moves of the automaton that are remembered.
-_PAIRS, _MOVES = 200_000, 200_000
+#: Pairs of neighbours and states of the automaton that are remembered.
+_PAIRS, _PLACES = 200_000, 50_000
+#: Words of more bytes get the states of all their prefixes in order; asking from the end would nest too deeply.
+_DEEP = 200
 
 
 def _byte_symbols() -> list[str]:
@@ -49,6 +55,19 @@ def _byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class _Place(dict):
+    """A state of the automaton: the next states by byte, made as they are met; the tokens that end here inside and at the end of words."""
+
+    __slots__ = ("end", "final", "inner", "make")
+
+    def __init__(self, end: bytes, inner: tuple, final: tuple, make):
+        self.end, self.inner, self.final, self.make = end, inner, final, make
+
+    def __missing__(self, byte: int) -> _Place:
+        to = self[byte] = self.make(self.end + bytes((byte,)))
+        return to
+
+
 class Model:
     """A vocabulary: tokens by bytes, inside and at the end of words, and the rule which tokens may be neighbours."""
 
@@ -93,24 +112,17 @@ class Model:
         self._forget_moves()
 
     def _forget_moves(self) -> None:
-        self._ends, self._number = [b""], {b"": 0}
-        self._moves: dict[int, int] = {}
-        self._inner_here: list[tuple] = [()]
-        self._final_here: list[tuple] = [()]
-
-    def _move(self, state: int, byte: int) -> int:
-        """The automaton's state after one more byte, remembered."""
-        end = self._ends[state] + bytes((byte,))
+        self._places: dict[bytes, _Place] = {}
+        self._start = self._place(b"")
+
+    def _place(self, end: bytes) -> _Place:
+        """The automaton's state after a text that ends so."""
         while end not in self.begins:
             end = end[1:]
-        to = self._number.get(end)
-        if to is None:
-            to = self._number[end] = len(self._ends)
-            self._ends.append(end)
-            for table, here in ((self.inner, self._inner_here), (self.final, self._final_here)):
-                here.append(tuple((len(end) - i, table[end[i:]]) for i in range(len(end)) if end[i:] in table))
-        self._moves[state << 8 | byte] = to
-        return to
+        if end not in self._places:
+            inner, final = (tuple((len(end) - i, table[end[i:]]) for i in range(len(end)) if end[i:] in table) for table in (self.inner, self.final))
+            self._places[end] = _Place(end, inner, final, self._place)
+        return self._places[end]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces at one end of a token as it was merged (0: left end, 1: right end), each with the rank of the merge that took it up."""
@@ -144,38 +156,44 @@ class Model:
         """The encodings of distinct words, by walking their trie depth-first."""
         if len(self._beside) > _PAIRS:
             self._beside.clear()
-        if len(self._moves) > _MOVES:
+        if len(self._places) > _PLACES:
             self._forget_moves()
         size_of, width, known, raw_id, out = self.size, self.width, self._beside, self.raw_id, {}
-        moves, inner_here, final_here = self._moves, self._inner_here, self._final_here
-        # Above the current node: the last token of each prefix, and the automaton's state after it.
-        path, tokens, places = b"", [0], [0]
-        for raw, word in sorted([(w.encode(), w) for w in words]):
-            end = 0
-            for a, b in zip(path, raw, strict=False):
-                if a != b:
+        # Above the current node: the last token of each prefix (-1: not asked for yet), and the automaton's state after it.
+        tokens, places = [-1], [self._start]
+
+        def last(end: int, here: tuple) -> int:
+            """The last token of the path's first `end` bytes, of those that end there."""
+            # Longest first; a byte by itself is always a token, and the last resort.
+            for size, t in here:
+                if size == end:
                     break
-                end += 1
-            full = len(raw)
-            end = min(end, len(path) - 1, full - 1) if end else 0
-            del tokens[end + 1 :], places[end + 1 :]
-            path, place = raw, places[end]
-            for byte in raw[end:]:
-                end += 1
-                place = moves.get(place << 8 | byte) or self._move(place, byte)
-                # Longest first; a byte by itself is always a token, and the last resort.
-                for size, t in inner_here[place] if end < full else final_here[place]:
-                    if size == end:
-                        break
-                    pair = tokens[end - size] * width + t
-                    if pair in known:
-                        if known[pair]:
-                            break
-                    elif self._border(pair):
+                at = end - size
+                left = tokens[at]
+                if left < 0:
+                    left = tokens[at] = last(at, places[at].inner)
+                pair = left * width + t
+                if pair in known:
+                    if known[pair]:
                         break
-                if end < full:
-                    tokens.append(t)
-                    places.append(place)
+                elif self._border(pair):
+                    break
+            return t
+
+        words = sorted(words)  # in the order of their bytes
+        raws = [w.encode() for w in words]
+        for word, raw, end in zip(words, raws, _shared(raws), strict=True):
+            full, place = len(raw), places[end]
+            tokens[end + 1 :] = [-1] * (full - end)
+            del places[end + 1 :]
+            for byte in raw[end:]:
+                place = place[byte]
+                places.append(place)
+            if full > _DEEP:
+                for at in range(end or 1, full):
+                    if tokens[at] < 0:
+                        tokens[at] = last(at, places[at].inner)
+            t, end = last(full, place.final), full
             ids = [raw_id[t]]
             while size_of[t] < end:
                 end -= size_of[t]
@@ -186,12 +204,15 @@ class Model:
         return out
 
     def _chunks_of(self, text: str) -> list[str]:
+        """The normalised text between white space. A special token has a space before it, which no chunk of a text has."""
         if self.split_special and any(s in text for s in self.special):
-            return [c for part in self.split_special.split(text) for c in ([part] if part in self.special else self._plain_chunks(part))]
+            return [c for part in self.split_special.split(text) for c in ([f" {part}"] if part in self.special else self._plain_chunks(part))]
         return self._plain_chunks(text)
 
     @staticmethod
     def _plain_chunks(text: str) -> list[str]:
+        # Lower case character by character: no rule for a sigma at the end of a word.
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return [c for c in _SPLIT.split(text) if c] if _CONTROL.search(text) else text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -200,20 +221,21 @@ class Model:
         every = set(chain.from_iterable(split))
         if len(self.chunks) > _CACHE:
             self.chunks = {c: self.chunks[c] for c in every if c in self.chunks}
-        chunks, found = self.chunks, {}
+        chunks, words, mixed = self.chunks, set(), {}
+        known = chunks.__getitem__
         for c in every.difference(chunks):
-            if c in self.special:
-                chunks[c] = self.raw_id[self.special[c]]
-            elif c.isascii() and c.isalpha():
-                found[c] = (c.lower(),)
+            if c.isalpha():
+                words.add(c)
+            elif c[0] == " ":
+                chunks[c] = self.raw_id[self.special[c[1:]]]
             else:
-                # Lower case character by character: no rule for a sigma at the end of a word.
-                plain = c.lower() if c.isascii() else unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
-                found[c] = (plain,) if plain.isalpha() else _WORD.findall(plain)
-        words = self.encode_words(list(set(chain.from_iterable(found.values()))))
-        for c, ws in found.items():
-            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        known = chunks.__getitem__
+                core = c.rstrip(_MARKS)
+                mixed[c] = (core, c[len(core) :]) if core.isalpha() else _WORD.findall(c)
+        # A word by itself is a chunk too.
+        words.update(chain.from_iterable(mixed.values()))
+        chunks.update(self.encode_words([w for w in words if w not in chunks]))
+        for c, ws in mixed.items():
+            chunks[c] = b"".join(map(known, ws))
         return [b"".join(map(known, cs)) for cs in split]
 
     def rest(self) -> None:
@@ -229,6 +251,17 @@ class Model:
         return pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(at), self.spoken.take(pa.array(flat))), " ")
 
 
+def _shared(raws: list[bytes], most: int = 32) -> list[int]:
+    """How many bytes each word, of distinct ones in order, shares with the one before, so far as `most`."""
+    if not raws:
+        return []
+    size = np.fromiter(map(len, raws), np.int64, len(raws))
+    letters = np.array(raws, f"S{most}").view(np.uint8).reshape(-1, most)
+    differ = np.ones((len(raws) - 1, most + 1), bool)
+    differ[:, :most] = letters[1:] != letters[:-1]
+    return [0, *np.minimum(differ.argmax(1), np.minimum(size[1:], size[:-1])).tolist()]
+
+
 _LOADED: dict[str, Model] = {}
 
 

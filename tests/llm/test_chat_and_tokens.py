@@ -148,3 +148,45 @@ def test_ids_are_little_endian(library):
     model = bpe.Model(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     ids = library.encode("the banana", add_special_tokens=False).ids
     assert model.encode(["the banana"])[0] == b"".join(i.to_bytes(4, "little") for i in ids) and model.decode([None, b""]).to_pylist() == ["", ""]
+
+
+def read_model():
+    return bpe.Model(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+
+
+def test_bpe_asks_for_few_states(library):
+    """A word's encoding asks whether two tokens may be neighbours about once per token, not once per byte."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, pair):
+            Counted.asked += 1
+            return super().__contains__(pair)
+
+    draw, model = random.Random(4), read_model()
+    pieces = sorted(t.replace("</w>", "") for t in library.get_vocab() if t.isascii() and t.replace("</w>", "").isalpha() and t.islower())
+    words = sorted({"".join(draw.choice(pieces) for _ in range(3)) for _ in range(3000)})
+    model._beside = Counted()
+    coded = model.encode_words(words)
+    assert all(np.frombuffer(coded[w], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids for w in words)
+    assert Counted.asked < 2 * sum(len(c) // 4 for c in coded.values())
+
+
+def test_bpe_encodes_a_known_word_once(library):
+    model, seen = read_model(), []
+    encode_words = model.encode_words
+    model.encode_words = lambda words: (seen.extend(words), encode_words(words))[1]
+    texts = ["hereshor inntble", "HERESHOR!! Inntble, hereshor&&& inntble's", "(inntble) !! ,"]
+    for t in texts:
+        assert np.frombuffer(model.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(set(seen))
+
+
+def test_bpe_long_words_and_borders_of_chunks(library):
+    draw, model = random.Random(5), read_model()
+    stem = "".join(draw.choices("abcdeé", k=400))
+    texts = [" ".join(stem[:n] + end for n in (0, 1, 15, 30, 31, 32, 33, 40, 150, 199, 200, 201, 400) for end in ("", "a", "ab", "é", "!")), "".join(draw.choices("ab", k=20_000)), "the" * 10_000]
+    texts += ["é ́a ́b c 가", "Σ ΑΣ ΑΣ. ΑΣ'S", "<|endoftext|>ABC<|endoftext|> <|endoftext|>! <|EndOfText|>", "word!'s don't, x'LL! ''' a.b! ²! Ⅳ. á́! z~'` {q}", "a\x1cb!\x1fC."]
+    for t in [*texts, " ".join(texts), *texts]:
+        assert np.frombuffer(model.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids

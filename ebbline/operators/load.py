@@ -15,6 +15,11 @@ from ebbline.plans.modes import Kind
 from ebbline.sources.catalog import CatalogError, Conflict, FileEntry
 from ebbline.sources.files import PK, TIER, read_files, stored_schema
 
+#: Commits of one call of an initial copy.
+COMMITS = 16
+#: Keys that an initial copy brings to the driver at once to cut the rest of the table.
+SAMPLE = 16_000
+
 
 def read_jsonl(store: Store, name: str, path: str) -> DataFrame:
     """JSON lines in the table's schema: an object a line, blank lines skipped, scalars only; anything else is an error."""
@@ -148,7 +153,8 @@ def adopt_loads(store: Store, name: str) -> int:
 def initial_copy(store: Store, name: str, chunk_rows: int = 50_000, max_chunks: int | None = None) -> dict:
     """Copy a mirrored table's hot rows into the lake in chunks of the primary key's order, from where the journal is.
 
-    Chunk bounds come from one pass of quantiles over the keys, so no chunk is sorted or read on the driver.
+    A call makes at most COMMITS commits of as many chunks each as that takes, and notes each in the journal. As every commit
+    reads the hot rows once, the copy costs in proportion to the table however small its chunks are.
     """
     table = store.table(name)
     row = store.catalog.one("SELECT * FROM copies WHERE table_id = ?", table.id)
@@ -159,9 +165,14 @@ def initial_copy(store: Store, name: str, chunk_rows: int = 50_000, max_chunks:
     rest = hot if after is None else hot.filter(F.col(PK) > after)
     n = rest.count()
     chunks = max(1, -(-n // chunk_rows))
-    bounds = _bounds(rest, chunks)
+    wanted = chunks if max_chunks is None else min(chunks, max(1, max_chunks))
+    step = -(-wanted // COMMITS)
+    ends = [min(i + step, wanted) for i in range(0, wanted, step)]
+    bounds = _bounds(rest, n, [end * chunk_rows for end in ends if end < chunks])
+    if wanted == chunks:
+        bounds.append(None)
     done = 0
-    for i, high in enumerate([*bounds, None]):
+    for end, high in zip(ends, bounds, strict=True):
         part = rest if high is None else rest.filter(F.col(PK) <= high)
         part = part if after is None else part.filter(F.col(PK) > after)
         seq = store.catalog.line(table.id).s + 1
@@ -170,21 +181,25 @@ def initial_copy(store: Store, name: str, chunk_rows: int = 50_000, max_chunks:
         after, last = high, high is None
         with store.catalog.transaction() as c:
             if files:
-                store.publish_lake(table, seq, files, props={"copy": i})
+                store.publish_lake(table, seq, files, props={"copy": done, "chunks": end - done})
             c.execute("INSERT INTO copies VALUES (?, ?, ?, ?) ON CONFLICT(table_id) DO UPDATE SET last_pk = excluded.last_pk, rows = excluded.rows, done = excluded.done", (table.id, high, copied, int(last)))
-        done += 1
-        if last or max_chunks is not None and done >= max_chunks:
-            return {"rows": copied, "chunks": done, "done": last}
-    raise AssertionError
-
-
-def _bounds(rows: DataFrame, chunks: int) -> list[str]:
-    """About even cuts of the keys, found on a hash sample of at most 100 keys a chunk."""
-    if chunks < 2:
-        return []
-    keys = rows.select(PK).orderBy(F.xxhash64(PK)).limit(100 * chunks).collect()
-    keys = sorted(k[0] for k in keys)
-    return sorted({keys[len(keys) * i // chunks] for i in range(1, chunks)})
+        done = end
+    return {"rows": copied, "chunks": done, "done": last}
+
+
+def _bounds(rows: DataFrame, n: int, places: list[int]) -> list[str]:
+    """The keys at about these places, ascending, among n rows in the keys' order; found on hash samples of SAMPLE keys.
+
+    Rows far beyond the last place are left out and the others sampled anew, so that early places are met as well.
+    """
+    while places:
+        keys = sorted(k[0] for k in rows.select(PK).orderBy(F.xxhash64(PK), PK).limit(SAMPLE).collect())
+        reach = 2 * len(keys) * places[-1] // n + 100
+        if n <= SAMPLE or 2 * reach >= len(keys):
+            return [keys[max(1, min(len(keys) * p // n, len(keys))) - 1] for p in places]
+        rows = rows.filter(F.col(PK) <= keys[reach])
+        n = rows.count()
+    return []
 
 
 def schema_of(fields: str | T.StructType) -> T.StructType:

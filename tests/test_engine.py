@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbline.engine import Engine
-from ebbline.operators import lifecycle
-from ebbline.operators.store import RoutingError
+from ebbline.operators import lifecycle, load
+from ebbline.operators.store import RoutingError, Store
 from ebbline.sources.catalog import CatalogError
 
 SCHEMA = "id long, event_time long, val string"
@@ -296,6 +296,37 @@ def test_initial_copy_resumes(spark, engine):
     assert last["done"] and last["rows"] == 500 and e.verify("c")["ok"]
 
 
+def test_initial_copy_of_many_chunks_takes_few_commits(spark, engine, monkeypatch):
+    e, whole, calls = engine, Store.stage_lake, []
+
+    def stage_lake(*args):
+        calls.append(1)
+        if len(calls) == 4:
+            raise OSError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(Store, "stage_lake", stage_lake)
+    e.register("c", SCHEMA, ["id"], "event_time", "mirrored", layout=1000)
+    e.insert("c", spark.range(500).select("id", F.col("id").alias("event_time"), F.lit("x").alias("val")))
+    with pytest.raises(OSError, match="lost"):
+        e.initial_copy("c", 5)
+    assert e.seam("c").lake(live=True).count() == 3 * 7 * 5
+    last = e.initial_copy("c", 5)
+    assert last == {"rows": 500, "chunks": 79, "done": True} and len(calls) <= 4 + load.COMMITS
+    assert sorted(r.id for r in e.seam("c").lake(live=True).collect()) == list(range(500)) and e.verify("c")["ok"]
+
+
+def test_initial_copy_meets_early_places(spark, engine, monkeypatch):
+    monkeypatch.setattr(load, "SAMPLE", 1000)
+    e = engine
+    e.register("c", SCHEMA, ["id"], "event_time", "mirrored", layout=100_000)
+    e.insert("c", spark.range(50_000).select("id", F.col("id").alias("event_time"), F.lit("x").alias("val")))
+    first = e.initial_copy("c", 20, max_chunks=2)  # fewer rows than lie between two keys of the first sample
+    assert first["chunks"] == 2 and 20 <= first["rows"] <= 80
+    low = sorted(map(str, range(50_000)))[: first["rows"]]
+    assert sorted(str(r.id) for r in e.seam("c").lake(live=True).collect()) == low
+
+
 def test_maintenance_expires_and_sweeps(spark, engine):
     e = trips(engine, policy={"snapshots_kept": 1, "snapshot_age": -1, "orphan_age": -1, "small_files": 2})
     e.tier("trips")

@@ -90,10 +90,11 @@ class Store:
         bucket = table.layout.bucket(F.col(TIER), table.kind)
         return stage(rows.select(*table.columns, PK, bucket.alias(BUCKET), TIER, F.lit(seq).cast("long").alias(SEQ)), self.folder(table, "lake"), "data")
 
-    def stage_deletes(self, table: Table, keys: DataFrame, seq: int) -> list[FileEntry]:
-        """keys: PK and the tier key the lake has the row at (TIER)."""
+    def stage_deletes(self, table: Table, keys: DataFrame, seq: int, once: bool = False) -> list[FileEntry]:
+        """keys: PK and the tier key the lake has the row at (TIER), or any of its bucket; once: no key is there twice for a bucket."""
         bucket = table.layout.bucket(F.col(TIER), table.kind)
-        return stage(keys.select(PK, bucket.alias(BUCKET), F.lit(seq).cast("long").alias(SEQ)).distinct(), self.folder(table, "lake"), "delete", tier=None)
+        out = keys.select(PK, bucket.alias(BUCKET), F.lit(seq).cast("long").alias(SEQ))
+        return stage(out if once else out.distinct(), self.folder(table, "lake"), "delete", tier=None)
 
     def stage_delta(self, table: Table, rows: DataFrame) -> list[FileEntry]:
         """rows: columns, PK, __op, TIER, __old_tier. All of them get one version, newer than any before."""

@@ -21,6 +21,8 @@ from ebbline.sources.files import PK, TIER
 
 #: Marks a text value that an update didn't send.
 UNCHANGED = "__unchanged__"
+#: Changes that one task folds. Up to 200 tasks, that is 80 million changes, Spark brings them together without sorting or keeping them.
+FOLD_ROWS = 400_000
 
 
 def feed_schema(table: Table) -> T.StructType:
@@ -28,11 +30,10 @@ def feed_schema(table: Table) -> T.StructType:
     return T.StructType([T.StructField("seq", T.LongType()), T.StructField("txn", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("new", row), T.StructField("old", row)])
 
 
-def fold(table: Table, changes: DataFrame) -> DataFrame:
-    """The state each key ends in: columns, PK, TIER, gone boolean, and __place, the tier key the lake has the row at.
+def ends_of(table: Table, changes: DataFrame) -> DataFrame:
+    """What each change does to its keys: PK, at (their order), gone boolean, row, TIER, and place, where the lake may have the row.
 
-    Values an update didn't send come from the old image. The lake's place is the first old tier key of the key in the
-    batch, however often the row moves. A changed primary key ends the old key.
+    Values an update didn't send come from the old image. A changed primary key ends the old key.
     """
     new, old = F.col("new"), F.col("old")
     fields = []
@@ -47,8 +48,18 @@ def fold(table: Table, changes: DataFrame) -> DataFrame:
     keyed = rows.select("seq", "kind", "row", tier("row").alias("tier"), tier("was").alias("was_tier"), _key(table, "row").alias("key"), _key(table, "was").alias("was_key"))
     ends = keyed.filter("kind = 'U' AND was_key <> key").select(F.col("was_key").alias(PK), (F.col("seq") * 2).alias("at"), F.lit(True).alias("gone"), "row", F.col("was_tier").alias(TIER), F.col("was_tier").alias("place"))
     same = F.when(F.col("kind") == "I", F.lit(None)).when(F.col("was_key") != F.col("key"), F.lit(None)).otherwise(F.col("was_tier"))
-    all_rows = keyed.select(F.col("key").alias(PK), (F.col("seq") * 2 + 1).alias("at"), (F.col("kind") == "D").alias("gone"), "row", F.col("tier").alias(TIER), F.coalesce(same, F.col("tier")).alias("place")).unionByName(ends)
-    last = all_rows.groupBy(PK).agg(F.max_by(F.struct("gone", "row", TIER), "at").alias("x"), F.min_by("place", "at").alias("__place"))
+    return keyed.select(F.col("key").alias(PK), (F.col("seq") * 2 + 1).alias("at"), (F.col("kind") == "D").alias("gone"), "row", F.col("tier").alias(TIER), F.coalesce(same, F.col("tier")).alias("place")).unionByName(ends)
+
+
+def fold(table: Table, ends: DataFrame, n: int) -> DataFrame:
+    """The state each key ends in: columns, PK, TIER, gone boolean, and __place, the tier key the lake has the row at.
+
+    The lake's place is the first old tier key of the key in the batch, however often the row moves. Changes of a key meet
+    in one task before anything is sorted, in as many tasks as n changes ask for: rows can't be merged by hashing, so a
+    sort before the shuffle would hold all that a task reads, and one after it a share that grows with the batch.
+    """
+    tasks = max(-(-n // FOLD_ROWS), min(ends.sparkSession.sparkContext.defaultParallelism, -(-n // 20_000)))
+    last = ends.repartition(tasks, PK).groupBy(PK).agg(F.max_by(F.struct("gone", "row", TIER), "at").alias("x"), F.min_by("place", "at").alias("__place"))
     return last.select(*[F.col("x.row")[c].alias(c) for c in table.columns], PK, F.col(f"x.{TIER}").alias(TIER), F.col("x.gone").alias("gone"), "__place")
 
 
@@ -68,19 +79,23 @@ def apply_batch(store: Store, name: str, changes: DataFrame, batch: int) -> int:
     table = store.table(name)
     f = store.catalog.line(table.id).f
     changes = changes.filter(F.col("txn") > f)
-    found = changes.agg(F.max("txn"), F.count_if(F.col("kind") == "T"), F.count_if(~F.col("kind").isin("I", "U", "D", "T"))).first()
+    found = changes.agg(F.max("txn"), F.count_if(F.col("kind") == "T"), F.count_if(~F.col("kind").isin("I", "U", "D", "T")), F.count("*")).first()
     if found[0] is None:
         return 0
     if found[1] or found[2]:
         raise RoutingError(f"{name}: the feed holds a truncation or an unknown kind of change")
     changes = evolve(store, table, changes)
     table = store.table(name)
-    state = fold(table, changes)
-    if state.filter(F.col(PK).isNull()).take(1):
+    ends = ends_of(table, changes)
+    if ends.filter(F.col(PK).isNull()).take(1):
         raise RoutingError(f"{name}: a change has no primary key")
     seq = store.catalog.line(table.id).s + 1
-    places = state.select(PK, F.explode(F.array_distinct(F.array("__place", TIER))).alias(TIER))
-    add = store.stage_deletes(table, places, seq) + store.stage_lake(table, state.filter("NOT gone"), seq)
+    state = fold(table, ends, found[3]).persist()
+    try:
+        buckets = F.array_distinct(F.transform(F.array("__place", TIER), lambda x: table.layout.bucket(x, table.kind)))
+        add = store.stage_deletes(table, state.select(PK, F.explode(buckets).alias(TIER)), seq, once=True) + store.stage_lake(table, state.filter("NOT gone"), seq)
+    finally:
+        state.unpersist()
     store.publish_lake(table, seq, add, props={"batch": batch, "frontier": found[0]}, f=found[0])
     return sum(x.rows for x in add if x.kind == "data")
 

@@ -269,6 +269,42 @@ def test_mirror(spark, engine, tmp_path):
         run()
 
 
+def test_fold_sorts_a_share_of_the_batch_only(spark, engine, tmp_path, monkeypatch):
+    from ebbline.streaming import mirror
+
+    e, path = engine, str(tmp_path / "feed")
+    e.register("v", SCHEMA, ["id"], "event_time", "mirrored", layout=100)
+    monkeypatch.setattr(mirror, "FOLD_ROWS", 5, raising=False)
+    state, changes = {}, []
+    for i in range(400):  # key 7 has half of all changes; every third key ends, and some move
+        k = 7 if i % 2 else i % 60
+        new = (k, i * 3 % 500, f"v{i}")
+        changes.append((i, 1, "D", None, state.pop(k)) if k % 3 == 0 and k in state else (i, 1, "U" if k in state else "I", new, state.get(k)))
+        if changes[-1][2] != "D":
+            state[k] = new
+    feed(spark, e, "v", path, *changes)
+    whole, seen = mirror.fold, []
+
+    def fold(*args):
+        seen.append(whole(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(mirror, "fold", fold)
+    e.mirror("v", path, str(tmp_path / "offsets")).awaitTermination()
+    assert text(e.seam("v").lake(live=True).select("id", "event_time", "val")) == text(rows(spark, *state.values()))
+    assert seen[0].rdd.getNumPartitions() == 80
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :] and "Sort " not in plan[plan.index("Exchange") :]
+
+
+def test_mirror_refuses_changes_without_a_key(spark, engine, tmp_path):
+    e, path = engine, str(tmp_path / "feed")
+    e.register("v", SCHEMA, ["id"], "event_time", "mirrored", layout=100)
+    feed(spark, e, "v", path, (1, 1, "I", (1, 10, "a"), None), (2, 1, "I", (None, 20, "b"), None))
+    with pytest.raises(Exception, match="no primary key"):
+        e.mirror("v", path, str(tmp_path / "offsets")).awaitTermination()
+
+
 def test_mirror_heap_retention(spark, engine, tmp_path):
     e = engine
     e.register("m", SCHEMA, ["id"], "event_time", "mirrored+heap_retention", width=100, heap_retention=100, cut=-1000)

@@ -1,12 +1,14 @@
 """Registered queries over whole tables against brute force."""
 
 import collections
+import datetime
 import os
 
 import pytest
 
 from ebbline import queries
 from ebbline.engine import Engine
+from ebbline.streaming import mirror
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -41,3 +43,29 @@ def test_writes_take_every_row(spark, events):
     assert got == {"hot": len(events) - len(cut), "delta": len(cut), "lake": 0}
     got = [r for r in queries.QUERIES["insert_select_whole"](spark, SF).collect() if r.event_id >= 7 * 10**7]
     assert sorted(map(tuple, got)) == sorted((r.event_id + 7 * 10**7, r.ts, r.event_type, r.value) for r in events)
+
+
+@pytest.mark.parametrize("name", ["cdc_fold_state", "hybrid_read"])
+def test_mirrored_state_is_folded_in_shares(spark, monkeypatch, name):
+    whole, parts = mirror.fold, []
+
+    def fold(*args):
+        out = whole(*args)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(mirror, "FOLD_ROWS", 50, raising=False)
+    monkeypatch.setattr(mirror, "fold", fold)
+    want = []
+    for r in spark.read.parquet(f"{SF}/orders.parquet").collect():
+        k, at, status, price = r.o_orderkey, r.o_orderdate, r.o_orderstatus, r.o_totalprice
+        if k % 7 == 0:
+            status, price = "X", price + 1
+        elif k % 11 == 0:
+            at += datetime.timedelta(days=400)
+        elif k % 13 == 0:
+            continue
+        want.append((k, at, status, price))
+    got = queries.QUERIES[name](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert max(parts) > len(want) // 50  # the shuffle partitions of the session are 4
